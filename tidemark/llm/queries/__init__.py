@@ -6,7 +6,12 @@ import importlib
 
 #: Query name -> module of this folder; each has ``query(spark, sf_dir)`` and ``SQL`` (or None).
 MODULES = {
+    "op1_license_scan": "op1",
+    "op4_decontamination": "op4",
+    "op5_quality_classifier": "op5",
     "op6_quality_rules": "op6",
+    "op7_mix_sources": "op7",
+    "op9_pii_pseudonyms": "op9",
 }
 
 
