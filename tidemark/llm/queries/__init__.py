@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module of this folder; each has ``query(spark, sf_dir)`` and ``SQL`` (or None).
 MODULES = {
+    "op10_near_duplicates": "op10",
     "op1_license_scan": "op1",
     "op4_decontamination": "op4",
     "op5_quality_classifier": "op5",
