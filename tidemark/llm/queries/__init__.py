@@ -13,6 +13,7 @@ MODULES = {
     "op5_quality_classifier": "op5",
     "op6_quality_rules": "op6",
     "op7_mix_sources": "op7",
+    "op8_page_text": "op8",
     "op9_pii_pseudonyms": "op9",
 }
 
