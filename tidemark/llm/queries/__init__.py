@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op10_near_duplicates": "op10",
     "op1_license_scan": "op1",
+    "op2_quote_links": "op2",
     "op3_repeated_passages": "op3",
     "op4_decontamination": "op4",
     "op5_quality_classifier": "op5",
