@@ -1,0 +1,79 @@
+"""Runs, blocks, Bloom filters and frames, with the small cases of the fixtures."""
+
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import codec
+from tidemark.model import Config
+from tidemark.operators import bloom, compact, runs, topology
+
+
+def entries(spark, keys, value="abc", segment="s"):
+    return spark.createDataFrame([(segment, k, value) for k in keys], "segment_id string, key string, value string")
+
+
+def test_blocks(spark):
+    got = runs.block_index(entries(spark, ["3bc", "1ef", "1bc", "2ef", "2bc"]), Config(block_bytes=12)).orderBy("block_no").collect()
+    assert [(r.n_entries, r.size_bytes, r.start_key) for r in got] == [(2, 12, "1bc"), (2, 12, "2bc"), (1, 6, "3bc")]
+
+
+@pytest.mark.parametrize("starts,wanted", [
+    ("a c d", {"b": 0}), ("a c e", {"d": 1}), ("b c e", {"a": None, "f": 2}), ("marche toyota", {"rue": 0}),
+    ("a g j l r u z", {"f": 0, "h": 1, "k": 2, "m": 3, "s": 4, "w": 5, "z2": 6, "1": None}), ("m", {"a": None, "m": 0}),
+])
+def test_locate(spark, starts, wanted):
+    index = spark.createDataFrame([("s", i, k) for i, k in enumerate(starts.split())], "segment_id string, block_no long, start_key string")
+    keys = spark.createDataFrame([("s", k) for k in wanted], "segment_id string, key string")
+    assert {r.key: r.block_no for r in runs.locate_block(index, keys).collect()} == wanted
+
+
+def test_runs_close_after_one_key_more(spark):
+    keys = "a b a c b d e f g a b".split()
+    df = spark.createDataFrame([(0, k, i) for i, k in enumerate(keys)], "log_id int, key string, seq long")
+    got = runs.flush_runs(df, Config(max_keys=3)).orderBy("run").collect()
+    assert [(r.first_seq, r.last_seq, r.n_keys, r.closed) for r in got] == [(0, 5, 4, True), (6, 9, 4, True), (10, 10, 1, False)]
+
+
+def test_candidates(spark):
+    one = entries(spark, ["abc"], segment="x").union(entries(spark, ["abc", "d"], segment="y"))
+    stats = compact.segment_stats(one.select(F.lit(0).alias("level"), "*", F.lit(False).alias("deleted"), F.lit(1).alias("seq")))
+    assert compact.candidates(stats, 0, 1).count() == 2
+    assert compact.candidates(stats, 0, 16).count() == 2  # equality counts
+    assert compact.candidates(stats, 0, 17).count() == 0
+    assert compact.candidates(stats, 1, 0).count() == 0
+
+
+def test_bloom(spark):
+    config = Config(bloom_bits=256)
+    own = entries(spark, [f"k{i}" for i in range(20)])
+    built = bloom.build(own, config)
+    asked = own.union(entries(spark, [f"no{i}" for i in range(200)]))
+    got = {r.key: r.maybe for r in bloom.might_contain(built, asked, config).collect()}
+    assert all(got[f"k{i}"] for i in range(20))
+    assert sum(got[f"no{i}"] for i in range(200)) < 60
+    assert not any(r.maybe for r in bloom.might_contain(bloom.build(own.limit(0), config), own, config).collect())
+
+
+def test_frames(spark):
+    rows = [(b"k", b"value", False), (b"", b"", False), (b"\xff\x00", None, True), (b"a" * 300, b"b" * 70000, False)]
+    df = spark.createDataFrame([(bytearray(k), None if v is None else bytearray(v), d) for k, v, d in rows], "key binary, value binary, deleted boolean")
+    for encode, decode, value_first in ((codec.encode_log, codec.decode_log, True), (codec.encode_segment, codec.decode_segment, False)):
+        got = df.select(encode(F.col("key"), F.col("value"), F.col("deleted")).alias("f")).select("f", decode(F.col("f")).alias("r")).collect()
+        for (k, v, d), r in zip(rows, got):
+            head = struct.pack(">BI", 64 if d else 0, len(k))
+            want = head + k if d else head + struct.pack(">I", len(v)) + k + v if value_first else head + k + struct.pack(">I", len(v)) + v
+            assert bytes(r.f) == want
+            assert (bytes(r.r.key), None if r.r.value is None else bytes(r.r.value), r.r.deleted) == (k, v, d)
+    assert spark.range(1).select(codec.utf8(F.unhex(F.lit("FF"))).alias("x")).first().x is None
+
+
+def test_topology(spark):
+    seed = topology.init(spark, "n1", "a", 1)
+    own = topology.init(spark, "n2", "b", 2)
+    joined, statuses = topology.start_join(own, [seed])
+    assert statuses == ["NotJoined", "SeedPending", "Joining"]
+    again = topology.join(joined, topology.init(spark, "n2", "b", 3))
+    assert {(r.node_id, r.port) for r in again.collect()} == {("n1", 1), ("n2", 3)}
+    assert topology.start_join(own, [])[1] == ["NotJoined"]

@@ -1,0 +1,33 @@
+"""A logical Bloom filter: bits as rows of 64, built and probed by grouping and joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..model import Config
+
+
+def positions(key: Column, config: Config) -> Column:
+    """The bit positions of a key by double hashing with a quadratic step."""
+    a = F.pmod(F.xxhash64(key), F.lit(config.bloom_bits))
+    b = F.pmod(F.hash(key).cast("long"), F.lit(config.bloom_bits))
+    return F.array(*((a + i * b + i * i) % config.bloom_bits for i in range(config.bloom_hashes)))
+
+
+def build(entries: DataFrame, config: Config, segment: str = "segment_id") -> DataFrame:
+    """(segment, word, bits)."""
+    at = entries.select(segment, F.explode(positions(F.col("key"), config)).alias("p"))
+    word, bit = F.floor(F.col("p") / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+    return at.groupBy(segment, word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def might_contain(filters: DataFrame, keys: DataFrame, config: Config, segment: str = "segment_id") -> DataFrame:
+    """(segment, key, maybe) for keys asked of a segment; false is certain."""
+    asked = keys.select(segment, "key").distinct()
+    at = asked.select(segment, "key", F.explode(positions(F.col("key"), config)).alias("p"))
+    at = at.withColumns({"word": F.floor(F.col("p") / 64).cast("int"),
+                         "bit": F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))})
+    held = at.join(filters, [segment, "word"], "left")
+    on = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    return held.groupBy(segment, "key").agg(F.bool_and(on).alias("maybe"))

@@ -1,0 +1,87 @@
+"""Runs and blocks: two folds that start again whenever they close.
+
+Both are sequential within a group by nature and parallel across groups.  A log
+slice is a bounded batch (ingest rotates logs), and a segment of a run has at most
+as many entries, so a group is bounded by the batch size, not by the data.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..model import Config
+
+
+def flush_runs(mutations: DataFrame, config: Config, log: str = "log_id") -> DataFrame:
+    """(log, run, n_mutations, n_keys, first_seq, last_seq).
+
+    A run closes after the mutation that makes its distinct keys more than
+    ``max_keys``; overwrites do not count.  What is left is an open run.
+    """
+    limit = config.max_keys
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        rows, keys, first, count = [], set(), None, 0
+        for key, seq in zip(pdf["key"], pdf["seq"]):
+            first = seq if first is None else first
+            keys.add(bytes(key) if isinstance(key, (bytearray, memoryview)) else key)
+            count += 1
+            if len(keys) > limit:
+                rows.append((len(rows), count, len(keys), first, seq, True))
+                keys, first, count = set(), None, 0
+        if count:
+            rows.append((len(rows), count, len(keys), first, int(pdf["seq"].iloc[-1]), False))
+        out = pd.DataFrame(rows, columns=["run", "n_mutations", "n_keys", "first_seq", "last_seq", "closed"])
+        out.insert(0, log, pdf[log].iloc[0] if len(pdf) else None)
+        return out
+
+    kind = dict(mutations.dtypes)[log]
+    schema = f"{log} {kind}, run long, n_mutations long, n_keys long, first_seq long, last_seq long, closed boolean"
+    return mutations.select(log, "key", "seq").groupBy(log).applyInPandas(cut, schema)
+
+
+def block_index(entries: DataFrame, config: Config, segment: str = "segment_id") -> DataFrame:
+    """(segment, block_no, n_entries, size_bytes, start_key): the sparse index of each segment.
+
+    Entries go in key order; a block closes when its payload (key and value
+    bytes) reaches ``block_bytes``, and nothing is carried over.
+    """
+    limit = config.block_bytes
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = pdf["raw"].map(bytes).sort_values().index
+        rows, count, size, start = [], 0, 0, None
+        for key, n in zip(pdf["key"][order], pdf["size"][order]):
+            start = key if count == 0 else start
+            count, size = count + 1, size + n
+            if size >= limit:
+                rows.append((len(rows), count, size, start))
+                count, size = 0, 0
+        if count:
+            rows.append((len(rows), count, size, start))
+        out = pd.DataFrame(rows, columns=["block_no", "n_entries", "size_bytes", "start_key"])
+        out.insert(0, segment, pdf[segment].iloc[0])
+        return out
+
+    kinds = dict(entries.dtypes)
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    schema = f"{segment} {kinds[segment]}, block_no long, n_entries long, size_bytes long, start_key {kinds['key']}"
+    narrow = entries.select(segment, "key", F.col("key").cast("binary").alias("raw"), size.cast("long").alias("size"))
+    return narrow.groupBy(segment).applyInPandas(cut, schema)
+
+
+def locate_block(index: DataFrame, keys: DataFrame, segment: str = "segment_id") -> DataFrame:
+    """(segment, key, block_no): the last block that starts at or before the key, null below the first.
+
+    The keys and the starts of a segment are merged in key order and the last
+    start is carried forward, so no key is compared with every block.
+    """
+    from pyspark.sql import Window
+
+    both = (index.select(segment, F.col("start_key").alias("key"), "block_no", F.lit(0).alias("_is_key"))
+            .unionByName(keys.select(segment, "key", F.lit(None).cast("long").alias("block_no"), F.lit(1).alias("_is_key"))))
+    run = Window.partitionBy(segment).orderBy("key", "_is_key")
+    return both.withColumn("block_no", F.last("block_no", ignorenulls=True).over(run)).where("_is_key = 1").drop("_is_key")

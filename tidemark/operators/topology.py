@@ -1,0 +1,32 @@
+"""Cluster membership as small tables.  Placement of data is Spark's own."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..model import TOPOLOGY
+
+NOT_JOINED, SEED_PENDING, JOINING = "NotJoined", "SeedPending", "Joining"
+
+
+def init(spark: SparkSession, node_id: str, hostname: str, port: int) -> DataFrame:
+    """The topology of a node that knows itself only."""
+    return spark.createDataFrame([(node_id, hostname, port)], TOPOLOGY)
+
+
+def join(topology: DataFrame, node: DataFrame) -> DataFrame:
+    """Add nodes; one row a ``node_id``, the newcomer's address wins."""
+    both = topology.withColumn("_new", F.lit(0)).unionByName(node.withColumn("_new", F.lit(1)))
+    won = both.groupBy("node_id").agg(F.max(F.struct("_new", "hostname", "port")).alias("w"))
+    return won.select("node_id", "w.hostname", "w.port")
+
+
+def start_join(own: DataFrame, seeds: list[DataFrame]) -> tuple[DataFrame, list[str]]:
+    """What a joining node and every node it meets then know, and the statuses it went through.
+
+    The first seed's topology is asked; without a seed the node stays alone.
+    """
+    if not seeds:
+        return own, [NOT_JOINED]
+    return join(seeds[0], own), [NOT_JOINED, SEED_PENDING, JOINING]
