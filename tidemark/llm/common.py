@@ -59,3 +59,17 @@ def ship(module: str) -> None:
     """Send a module's functions to the executors with the task, so that they
     need no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def boxed(df: DataFrame, **needed: Column) -> DataFrame:
+    """All columns of ``df`` as one struct, beside the columns an operator works
+    on, so that names of its own cannot meet those of ``df``."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    return df.select(whole.alias("_row"), *(c.alias(name) for name, c in needed.items()))
+
+
+def unboxed(df: DataFrame, names: list[str], **added: Column) -> DataFrame:
+    """The columns ``names`` of a boxed row; ``added`` takes the place of a column
+    of the same name, or follows at the end."""
+    kept = [added[c].alias(c) if c in added else F.col("_row").getField(c).alias(c) for c in names]
+    return df.select(*kept, *(c.alias(name) for name, c in added.items() if name not in names))

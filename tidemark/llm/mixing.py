@@ -17,7 +17,7 @@ per pattern.
 Defined results: a null text has size 0; a null source is a source of its own
 and comes last; sources of size 0 have target 0; documents of equal
 hash, repeated ids among them, share one outcome; an empty table gives no
-rows; extra columns pass through.
+rows; extra columns pass through, those of the added names are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKEN, materialize
+from .common import TOKEN, boxed, materialize, unboxed
 
 MAX_PATTERNS = 100_000
 _SLICES = 4096
@@ -106,7 +106,7 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, repeats: int) -> d
     return {p: sum(flow[p].values()) for p in capacity}
 
 
-def _pattern(sources: str) -> Column:
+def _pattern(sources: Column) -> Column:
     """A set of sources as text: names after "=", the null source as "~"."""
     named = F.transform(sources, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))
     return F.to_json(F.sort_array(F.array_distinct(named)))
@@ -116,16 +116,16 @@ def _order(key: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, *, sources: str = "_sources", key: str = "doc_id", text: str = "text", weights: dict | None = None,
+def mix(docs: DataFrame, *, sources: Column, key: str = "doc_id", text: str = "text", weights: dict | None = None,
         most: int = 3, seed: int = 0) -> DataFrame:
-    """Add size, n_passes, taken and the targets of a document's sources.
+    """Add size, n_passes, taken, source_sizes and targets (of a document's sources).
 
-    ``sources`` is an array<string> column: all sources a document counts for.
+    ``sources`` is an array of names: all sources a document counts for.
     ``weights`` defaults to 1, 2, 3, repeating by code point order, null last.
     """
     size = F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))).cast("long")
-    sized = docs.withColumns({"size": size, "_pattern": _pattern(sources), "_order": _order(key, seed)})
-    sized = sized.withColumn("_slice", (F.col("_order") % _SLICES).cast("int"))
+    order = _order(key, seed)
+    sized = boxed(docs, size=size, _pattern=_pattern(sources), _order=order, _slice=(order % _SLICES).cast("int"))
     narrow = materialize(sized.select("size", "_pattern", "_order", "_slice"), "mix-sizes")
     slices = materialize(narrow.groupBy("_pattern", "_slice").agg(F.sum("size").alias("words")), "mix-slices")
     totals = slices.groupBy("_pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
@@ -164,15 +164,14 @@ def mix(docs: DataFrame, *, sources: str = "_sources", key: str = "doc_id", text
     route = materialize(plan.join(ends.select("_pattern", F.col("_slice").alias("_end")), "_pattern", "left")
                         .join(last, "_pattern", "left").drop("_rest"), "mix-route")
     once = F.coalesce((F.col("_slice") < F.col("_end")) | ((F.col("_slice") == F.col("_end")) & (F.col("_order") <= F.col("_cut"))), F.lit(False))
-    return (sized.join(route, "_pattern", "left")
-            .withColumn("n_passes", F.least(F.col("n_passes") + once.cast("long"), F.lit(most).cast("long")))
-            .withColumn("taken", F.col("size") * F.col("n_passes"))
-            .drop("_pattern", "_order", "_slice", "_end", "_cut"))
+    passes = F.least(F.col("n_passes") + once.cast("long"), F.lit(most).cast("long"))
+    return unboxed(sized.join(route, "_pattern", "left"), docs.columns, size=F.col("size"), n_passes=passes, taken=F.col("size") * passes,
+                   source_sizes=F.col("source_sizes"), targets=F.col("targets"))
 
 
 def mix_by_source(docs: DataFrame, *, source: str = "source", key: str = "doc_id", text: str = "text", most: int = 3,
                   seed: int = 0) -> DataFrame:
     """``mix`` for documents with one source each; adds source_size and target."""
-    mixed = mix(docs.withColumn("_sources", F.array(F.col(source))), key=key, text=text, most=most, seed=seed)
+    mixed = mix(docs, sources=F.array(F.col(source)), key=key, text=text, most=most, seed=seed)
     return (mixed.withColumns({"source_size": F.get("source_sizes", F.lit(0)), "target": F.get("targets", F.lit(0))})
-            .drop("_sources", "source_sizes", "targets"))
+            .drop("source_sizes", "targets"))

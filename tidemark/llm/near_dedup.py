@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, ship
+from .common import WORD, boxed, materialize, ship, unboxed
 from .components import connected_components
 
 ship(__name__)
@@ -251,9 +251,8 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thr
     keyed = docs.select(F.col(key), text_node(F.col(text)))
     first = _classes(keyed, found, roots, key).where("first")
     kept = materialize(first.groupBy(key, "node").agg(F.count("*").alias("_copies")), "kept")
-    own = docs.withColumn("_node", text_node(F.col(text)))
-    mine = own.join(kept, own["_node"].eqNullSafe(kept["node"]) & own[key].eqNullSafe(kept[key])).drop(kept[key]).drop("node")
-    once = mine.where("_copies = 1")
+    rows = boxed(docs, _key=F.col(key), _node=text_node(F.col(text)))
+    mine = rows.join(kept.withColumnsRenamed({key: "_k", "node": "_n"}), (F.col("_node") == F.col("_n")) & F.col("_key").eqNullSafe(F.col("_k")))
     # Rows repeated with their id and text are rare: one of each is kept.
-    again = mine.where("_copies > 1").dropDuplicates([key, "_node"])
-    return once.union(again).select(*(F.col(f"`{c}`") for c in docs.columns))
+    once, again = mine.where("_copies = 1"), mine.where("_copies > 1").dropDuplicates(["_key", "_node"])
+    return unboxed(once.union(again), docs.columns)

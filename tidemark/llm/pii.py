@@ -17,7 +17,8 @@ document and different values never meet.
 
 All of it is DataFrame expressions.  A null text stays null with counts of 0; a
 text without validated values stays as it is; numbers that fail their check are
-left alone.  Extra columns pass through, repeated rows stay repeated.
+left alone.  Extra columns pass through (those of the counts' names are replaced),
+repeated rows stay repeated.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed, unboxed
+
 KINDS = ("email", "phone", "card", "ssn", "ip", "date", "secret")
 
 _SECRET = (r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]{16})"
@@ -152,20 +155,34 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
             .when(kind.isin("ssn", "secret"), _text_permutation(x, key, "text")).otherwise(x))
 
 
-def pseudonymize(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
-    """Replace the validated values of ``text``; add ``n_<kind>`` and ``n_private``."""
-    t = F.col(text)
+def _is(kind: str):
+    return lambda m: m["k"] == kind
+
+
+def pseudonymize(docs: DataFrame, *, key: str, text: str = "text", counts: bool = True, length: str | None = None) -> DataFrame:
+    """Replace the validated values of ``text``; add ``n_<kind>`` and ``n_private`` if ``counts``.
+
+    ``length`` names a column that holds the length of the text and follows it.
+    """
+    t = F.col("_text")
     # Every kind has a digit or an at sign, and most texts have neither.
     some = t.rlike("[0-9@]")
-    found = docs.withColumn("_found", F.when(some, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
-                            .otherwise(F.array().cast("array<string>")))
+    found = boxed(docs, _text=F.col(text)).withColumn("_found", F.when(some, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
+                                                      .otherwise(F.array().cast("array<string>")))
     kinds = F.transform("_found", lambda x: F.struct(x.alias("x"), kind_of(x).alias("k")))
     named = found.withColumn("_kinds", F.when(F.size("_found") > 0, kinds)).drop("_found")
+    # The values stand between the pieces, so both are joined in turn.
     changed = F.transform("_kinds", lambda m: pseudonym(m["x"], m["k"], key))
     pieces = F.split(t, PATTERN, -1)
     rebuilt = F.array_join(F.zip_with(pieces, changed, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    count = lambda k: F.coalesce(F.size(F.filter("_kinds", lambda m: m["k"] == k)), F.lit(0)).cast("long")
-    total = F.coalesce(F.size(F.filter("_kinds", lambda m: m["k"].isNotNull())), F.lit(0)).cast("long")
-    counted = named.withColumns({f"n_{k}": F.when(F.col("_kinds").isNull(), F.lit(0).cast("long")).otherwise(count(k)) for k in KINDS})
-    counted = counted.withColumn("n_private", F.when(F.col("_kinds").isNull(), F.lit(0).cast("long")).otherwise(total))
-    return counted.withColumn(text, F.when(F.col("n_private") > 0, rebuilt).otherwise(t)).drop("_kinds")
+    real = F.filter("_kinds", lambda m: m["k"].isNotNull())
+    any_real = F.col("_kinds").isNotNull() & (F.size(real) > 0)
+    new = named.withColumn("_new", F.when(any_real, rebuilt).otherwise(t))
+    size = lambda x: F.when(F.col("_kinds").isNull(), F.lit(0)).otherwise(F.size(x)).cast("long")
+    added = {text: F.col("_new")}
+    if length and length in docs.columns:
+        old = F.col("_row").getField(length)
+        added[length] = F.when(any_real, F.length("_new").cast(docs.schema[length].dataType)).otherwise(old)
+    if counts:
+        added |= {f"n_{k}": size(F.filter("_kinds", _is(k))) for k in KINDS} | {"n_private": size(real)}
+    return unboxed(new, docs.columns, **added)

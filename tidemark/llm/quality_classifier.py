@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKEN, materialize
+from .common import TOKEN, boxed, materialize, unboxed
 
 SAMPLE = 20_000
 #: A document goes if it is four times as likely to be bad as to be good.
@@ -116,15 +116,15 @@ class Model:
         return joined.withColumn("quality", F.round(1 / (1 + F.exp(-odds)), 9)).drop("_p", "_path_n", "_path_p")
 
 
-def _sited(docs: DataFrame, host: Column, path: Column) -> DataFrame:
-    return docs.withColumns({"_host": F.coalesce(host.cast("string"), F.lit(_NONE)), "_path": F.coalesce(path.cast("string"), F.lit(_NONE))})
+def _site(host: Column, path: Column) -> dict[str, Column]:
+    return {"_host": F.coalesce(host.cast("string"), F.lit(_NONE)), "_path": F.coalesce(path.cast("string"), F.lit(_NONE))}
 
 
 def train(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, key: str = "doc_id", text: str = "text",
           sample: int = SAMPLE) -> tuple[Model, DataFrame]:
     """The model, and the documents' key, site and statistics as a written table."""
-    narrow = materialize(_sited(docs, host, path).select(key, "_host", "_path", *(c.alias(n) for n, c in features(F.col(text)).items())),
-                         "features")
+    columns = _site(host, path) | features(F.col(text))
+    narrow = materialize(docs.select(key, *(c.alias(n) for n, c in columns.items())), "features")
     known = (labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull())
              .groupBy(key).agg((F.max("quality") >= 1).cast("int").alias("_y")))
     rows = (narrow.join(known, key).select(F.xxhash64(key).alias("h"), key, "_y", *NAMES)
@@ -164,5 +164,5 @@ def keep(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, key:
          threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The documents the classifier keeps, with their own columns."""
     model, _ = train(docs, labels, host=host, path=path, key=key, text=text, sample=sample)
-    scored = model.score(_sited(docs, host, path), probability(model.weights, features(F.col(text))))
-    return scored.where(F.col("quality") >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = boxed(docs, **_site(host, path), _p=probability(model.weights, features(F.col(text))))
+    return unboxed(model.score(rows, F.col("_p")).where(F.col("quality") >= threshold), docs.columns)

@@ -142,7 +142,7 @@ def certified_cutoffs(values: DataFrame, labels: DataFrame, *, stratum: str, key
     # The strata are few and the counts are narrow: written once, their number is known below.
     summed = materialize(held.groupBy("_stratum").agg(*counts), "strata")
     level = alpha / len(RULES)
-    tests = summed.withColumn("_strata", F.lit(summed.count()))
+    tests = summed.withColumn("_strata", F.lit(max(summed.count(), 1)))
     grid = tests.select("_stratum", "_strata", "n_good", "n_bad", F.explode(F.array(*cells)).alias("c")).select(
         "_stratum", "_strata", "n_good", "n_bad", "c.*")
     # At k >= n * level the tail is about a half or more, so it cannot pass.

@@ -18,7 +18,8 @@ a line that stands in a third of all messages makes no pairs; ancestors are foun
 by pointer doubling.  Defined results: null and empty texts have no passages; a
 line ``On ... wrote:`` before a quote counts as part of it; a null conversation is
 one of its own; null turns are not linked; repeated rows each get their row;
-passages without an original stay unlinked; extra columns pass through.
+passages without an original stay unlinked; extra columns pass through, those of
+the added names are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import boxed, materialize, ship, unboxed
 
 ship(__name__)
 
@@ -95,11 +96,11 @@ def link_quotes(messages: DataFrame, *, conversation: str = "conv_id", turn: str
     """
     c, t = F.col(conversation), F.col(turn)
     identity = F.unhex(F.md5(F.to_json(F.struct(c.cast("string").alias("c"), t.cast("string").alias("t"), F.col(text).alias("x")))))
-    rows = messages.withColumn("_id", identity)
-    parsed = rows.select("_id", F.col(text).alias("_text")).mapInArrow(
+    rows = boxed(messages, _id=identity, _text=F.col(text), _c=c, _t=t.cast("long"))
+    parsed = rows.select("_id", "_text").mapInArrow(
         _parse_batches, "_id binary, _body string, _units array<struct<level int, passage int, rank int, text string>>")
     parsed = materialize(parsed.dropDuplicates(["_id"]), "messages")
-    named = rows.select("_id", c.alias("_c"), t.cast("long").alias("_t")).distinct()
+    named = rows.select("_id", "_c", "_t").distinct()
     all_units = (parsed.select("_id", F.explode("_units").alias("u")).join(named, "_id")
                  .select("_id", "_c", "_t", "u.level", "u.passage", "u.rank", F.unhex(F.md5("u.text")).alias("_h")))
     own = all_units.where("level = 0 AND _t IS NOT NULL")
@@ -124,11 +125,11 @@ def link_quotes(messages: DataFrame, *, conversation: str = "conv_id", turn: str
                        .groupBy("_c", "_t").agg(F.min("parent_turn").alias("_up")))
     bodies = parsed.select("_id", "_body", quotes.cast("long").alias("n_quotes"))
     out = rows.join(bodies, "_id").join(linked, "_id", "left").join(
-        threads.withColumnsRenamed({"_c": "_tc", "_t": "_tt"}), c.eqNullSafe(F.col("_tc")) & (t.cast("long") == F.col("_tt")), "left")
-    return out.withColumns({
-        text: F.col("_body"), "n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"),
-        "thread_turn": F.coalesce(F.col("_root"), t.cast("long")), "depth": F.coalesce(F.col("_depth"), F.lit(0)).cast("long"),
-    }).drop("_id", "_body", "_tc", "_tt", "_root", "_depth")
+        threads.withColumnsRenamed({"_c": "_tc", "_t": "_tt"}), F.col("_c").eqNullSafe(F.col("_tc")) & (F.col("_t") == F.col("_tt")), "left")
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("long")
+    return unboxed(out, messages.columns, **{
+        text: F.col("_body"), "n_quotes": F.col("n_quotes"), "n_linked": zero("n_linked"), "links": F.col("links"),
+        "parent_turn": F.col("parent_turn"), "thread_turn": F.coalesce("_root", "_t"), "depth": zero("_depth")})
 
 
 def _threads(parents: DataFrame) -> DataFrame:
