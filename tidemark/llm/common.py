@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -12,11 +14,11 @@ from pyspark.sql import functions as F
 
 #: ASCII word characters and everything beyond ASCII, after A-Z is lowered.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Runs without ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         if _own_dir is None:
-            _own_dir = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own_dir = "file://" + folder
         found = _own_dir
     return found.rstrip("/")
 
@@ -41,14 +45,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z only; null becomes the empty string."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(F.coalesce(text, F.lit("")), upper, lower)
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote, once their results are used up."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
