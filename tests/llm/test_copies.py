@@ -83,6 +83,17 @@ def test_large_buckets_lose_no_link(docs):
     assert sizes == {90: 1, 6: 1}
 
 
+def test_copies_are_linked_through_their_original(docs):
+    """Copies that are close to one text and not to each other, beside some that are too far from it."""
+    r = random.Random(10)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    near, far = ([edited(r, base, n) for _ in range(70)] for n in (2, 5))
+    texts = [" ".join(t) for t in [*near, base, *far]]
+    found, roots = near_dedup.links(docs(list(enumerate(texts))), small=8)
+    assert max(map(len, classes(texts))) >= 71
+    assert sorted(Counter(x["root"] for x in roots.collect()).values()) == sorted(n for n in map(len, classes(texts)) if n > 1)
+
+
 def test_repeated_rows_nulls_and_empty(spark, docs):
     table = docs([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "z"), (4, "y")])
     got = near_dedup.near_duplicates(table).collect()

@@ -9,11 +9,12 @@ stops as soon as its next arrival is later than all first arrivals.
 
 Equal texts are one node (their MD5).  Nodes that agree in a band of the
 signature are candidates: all pairs of a bucket with up to ``SMALL`` nodes, and in
-a larger bucket every node with one pivot.  Candidates are verified by the
-weighted Jaccard similarity of the whole texts.  Nodes of a large bucket that do
-not end up in the class of its pivot stay for another round with a new pivot and,
-from the third round on, are split by a second band; so groups of near copies of
-any size take a number of pairs that grows with their size, not its square.
+a larger bucket every node with the pivot, the node that meets the most others.
+Candidates are verified by the weighted Jaccard similarity of the whole texts.
+Nodes of a large bucket that do not end up in the class of its pivot are split by
+a second band and go through further rounds with new pivots; so groups of near
+copies of any size take a number of pairs that grows with their size, not its
+square.
 
 ``near_duplicates`` gives each row its class: the least id of the rows that are
 linked to it directly or through others.  Defined results: null texts count as
@@ -38,7 +39,7 @@ ship(__name__)
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 SMALL = 32
-_ROUNDS = 8
+_ROUNDS = 4
 #: Shingles handled at once in a task.
 _CHUNK = 400_000
 
@@ -177,15 +178,23 @@ def _candidates(rows: DataFrame, threshold: float, small: int) -> DataFrame:
     pairs = (l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node")))
              .where(near(F.col("l.n"), F.col("r.n"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
     many = (rows.where((F.col("size") > small) & (F.col("node") != F.col("pivot"))).where(near(F.col("n"), F.col("pivot_n")))
-            .select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+            .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")))
     return pairs.union(many).distinct()
 
 
-def _bucketed(rows: DataFrame) -> DataFrame:
-    """Add size and pivot to (bucket, node, n); buckets of one node go."""
-    held = (rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("p")).where("size > 1")
-            .select("bucket", "size", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")))
-    return rows.join(held, "bucket")
+def _bucketed(rows: DataFrame, small: int) -> DataFrame:
+    """Add size and, to large buckets, a pivot to (bucket, node, n); buckets of one node go.
+
+    The pivot is the node that shares large buckets with the most others: the text a
+    group of copies was made from, if there is one, rather than any of its copies.
+    """
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    held = materialize(rows.join(sizes, "bucket"), "held")
+    many = held.where(F.col("size") > small)
+    rank = many.groupBy("node").agg((-F.sum("size")).alias("rank"))
+    pivots = (many.join(rank, "node").groupBy("bucket").agg(F.min(F.struct("rank", "node", "n")).alias("p"))
+              .select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    return held.join(pivots, "bucket", "left")
 
 
 def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS,
@@ -193,20 +202,20 @@ def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands:
     """Verified links (a, b, similarity) between different texts, and the roots (node, root) of those linked."""
     signed = materialize(signatures(docs, text, bands, rows), "signatures")
     keyed = signed.select("node", "n", F.explode("bands").alias("bucket"))
-    open_rows = materialize(_bucketed(keyed), "buckets")
-    found = None
+    open_rows = materialize(_bucketed(keyed, small), "buckets")
+    # The texts of all nodes that meet another in some band, read once.
+    met = materialize(open_rows.select("node").distinct(), "nodes")
+    texts = docs.select(text_node(F.col(text)), F.col(text).alias("t")).join(met, "node", "left_semi").dropDuplicates(["node"])
+    words = materialize(texts.select("node", "t"), "texts")
+    a, b = (words.select(F.col("node").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
+    found = tried = None
     for turn in range(_ROUNDS):
         pairs = _candidates(open_rows, threshold, small)
-        if found is not None:
+        if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        tried = pairs if found is None else tried.union(pairs)
-        nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-        texts = (docs.select(text_node(F.col(text)), F.col(text).alias("t")).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-        words = materialize(texts.select("node", "t"), "texts")
-        pick = lambda side, w: words.select(F.col("node").alias(side), F.col("t").alias(w))
-        both = pairs.join(pick("a", "ta"), "a").join(pick("b", "tb"), "b").select(
-            "a", "b", _word_hashes("ta").alias("wa"), _word_hashes("tb").alias("wb"))
+        tried = pairs if tried is None else tried.union(pairs)
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", _word_hashes("ta").alias("wa"), _word_hashes("tb").alias("wb"))
         verified = materialize(both.mapInArrow(_verifier(threshold), "a binary, b binary, similarity double"), "links")
         found = verified if found is None else found.union(verified)
         roots = connected_components(found.select("a", "b"))
@@ -214,16 +223,17 @@ def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands:
         large = open_rows.where(F.col("size") > small)
         own = roots.select(F.col("node"), F.col("root").alias("_own"))
         theirs = roots.select(F.col("node").alias("pivot"), F.col("root").alias("_theirs"))
-        rest = (large.join(own, "node", "left").join(theirs, "pivot", "left")
-                .where((F.col("node") != F.col("pivot")) & ~F.coalesce(F.col("_own") == F.col("_theirs"), F.lit(False)))
-                .select("bucket", "node", "n"))
-        if turn >= 2:
-            again = signed.select("node", F.explode("bands").alias("_second"))
-            rest = (rest.join(again, "node").where(F.col("_second") != F.col("bucket"))
-                    .select(F.xxhash64("bucket", "_second").alias("bucket"), "node", "n"))
-        open_rows = materialize(_bucketed(rest), "buckets")
-        if open_rows.isEmpty():
+        rest = materialize(large.join(own, "node", "left").join(theirs, "pivot", "left")
+                           .where((F.col("node") != F.col("pivot")) & ~F.coalesce(F.col("_own") == F.col("_theirs"), F.lit(False)))
+                           .select("bucket", "node", "n"), "rest")
+        if rest.isEmpty():
             break
+        if turn == 0:
+            # Similar texts that are left meet in several of these buckets: two at once tell them from the others.
+            second = rest.select("node", F.col("bucket").alias("_second"))
+            rest = (rest.join(second, "node").where(F.col("bucket") < F.col("_second"))
+                    .select(F.xxhash64("bucket", "_second").alias("bucket"), "node", "n"))
+        open_rows = materialize(_bucketed(rest, small), "buckets")
     return found, roots
 
 

@@ -127,8 +127,11 @@ def train(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, key
     narrow = materialize(docs.select(key, *(c.alias(n) for n, c in columns.items())), "features")
     known = (labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull())
              .groupBy(key).agg((F.max("quality") >= 1).cast("int").alias("_y")))
-    rows = (narrow.join(known, key).select(F.xxhash64(key).alias("h"), key, "_y", *NAMES)
-            .orderBy("h", key, *NAMES).limit(sample).toPandas())
+    labelled = narrow.join(known, key).select(F.xxhash64(key).alias("h"), key, "_y", *NAMES)
+    # Hashes are even over 64 bits: below this bound stand a few more rows than the sample, so that tasks send no more.
+    share = min(1.0, 1.2 * (sample + 100) / max(labelled.count(), 1))
+    bound = F.lit(min(int((share - 0.5) * 2**64), 2**63 - 1))
+    rows = labelled.where(F.col("h") <= bound).orderBy("h", key, *NAMES).limit(sample).toPandas()
     weights = fit(rows[list(NAMES)].to_numpy(float), rows["_y"].to_numpy(float))
     p = probability(weights, {n: F.col(n) for n in NAMES})
     paths = materialize(narrow.withColumn("_p", p).groupBy("_host", "_path").agg(F.count("*").alias("_path_n"), F.sum("_p").alias("_path_p")),
