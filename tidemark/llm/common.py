@@ -7,6 +7,7 @@ import shutil
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a Bloom filter at most (8 MB), and bits per key below which it lets too much through.
+_FILTER_BITS, _FILTER_LEAST = 1 << 26, 4
+
+
+@contextmanager
+def prefiltered(keys: DataFrame):
+    """Joins planned inside drop rows whose key is not in ``keys``, a written table,
+    before they shuffle the other side, by Spark's Bloom filters.
+
+    ``keys`` must be read with a comparison, or Spark does not take it for selective.
+    Keys too many for a filter of bounded size are joined without one.  Results are the
+    same with and without it.
+    """
+    spark, n = keys.sparkSession, keys.count()
+    if n * _FILTER_LEAST > _FILTER_BITS:
+        yield
+        return
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "4g",
+              "expectedNumItems": str(max(n, 1)), "numBits": str(min(max(8 * n, 1 << 20), _FILTER_BITS))}
+    before = {k: spark.conf.get(prefix + k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(prefix + k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(prefix + k, v)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that ``materialize`` wrote, once their results are used up."""
     while _written:

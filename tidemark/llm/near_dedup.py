@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, boxed, materialize, ship, unboxed
+from .common import WORD, boxed, materialize, prefiltered, ship, unboxed
 from .components import connected_components
 
 ship(__name__)
@@ -204,9 +204,11 @@ def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands:
     keyed = signed.select("node", "n", F.explode("bands").alias("bucket"))
     open_rows = materialize(_bucketed(keyed, small), "buckets")
     # The texts of all nodes that meet another in some band, read once.
-    met = materialize(open_rows.select("node").distinct(), "nodes")
-    texts = docs.select(text_node(F.col(text)), F.col(text).alias("t")).join(met, "node", "left_semi").dropDuplicates(["node"])
-    words = materialize(texts.select("node", "t"), "texts")
+    met = materialize(open_rows.select("node", "n").distinct(), "nodes")
+    own = docs.select(text_node(F.col(text)), F.col(text).alias("t"))
+    with prefiltered(met):
+        texts = own.join(met.where("n > 0").select("node"), "node", "left_semi").dropDuplicates(["node"])
+        words = materialize(texts.select("node", "t"), "texts")
     a, b = (words.select(F.col("node").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
     found = tried = None
     for turn in range(_ROUNDS):
@@ -246,13 +248,17 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def _classes(keyed: DataFrame, found: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = named.groupBy("root").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"),
-                                        F.min(F.struct(F.col(key).isNull(), F.col(key), "node")).alias("_first"))
-    joined = named.join(degree, "node", "left").join(classes, "root")
     own = F.struct(F.col(key).isNull(), F.col(key), F.col("node"))
-    return joined.withColumns({"n_links": F.coalesce("n_links", F.lit(0)).cast("long"),
-                               "first": own.eqNullSafe(F.col("_first"))}).drop("_first")
+    named = materialize(keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    # Written, so that the rows of a class that holds much of the table can be dealt to many tasks when they meet it.
+    classes = materialize(named.groupBy("root").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"), F.min(own).alias("_first"))
+                          .where("class_size > 1"), "classes")
+    joined = named.join(degree, "node", "left").join(classes, "root", "left")
+    alone = F.col("class_size").isNull()
+    return joined.withColumns({"class_id": F.when(alone, F.col(key)).otherwise(F.col("class_id")),
+                               "class_size": F.coalesce("class_size", F.lit(1)).cast("long"),
+                               "n_links": F.coalesce("n_links", F.lit(0)).cast("long"),
+                               "first": alone | own.eqNullSafe(F.col("_first"))}).drop("_first")
 
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
