@@ -94,6 +94,23 @@ def test_copies_are_linked_through_their_original(docs):
     assert sorted(Counter(x["root"] for x in roots.collect()).values()) == sorted(n for n in map(len, classes(texts)) if n > 1)
 
 
+def test_copies_of_copies_stay_with_a_large_group(docs):
+    """Texts too far from the pivot of a group of over 1000, and near one of its other members alone."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    copies = [edited(r, base, r.randint(1, 2)) for _ in range(1100)]
+    # A member that is shorter than the pivot, and one shorter still: neither has a shingle the pivot lacks.
+    again = [(x, edited(r, x, 2)) for x in copies[:200]] + [(base[:100], base[:82])]
+    texts = [" ".join(x) for x in [base, *copies, base[:100], *(y for _, y in again)]]
+    joined = [similarity(" ".join(x), " ".join(y)) >= 0.8 for x, y in again]
+    assert sum(similarity(texts[0], " ".join(y)) < 0.8 for (_, y), ok in zip(again, joined) if ok) > 50
+    table = docs(list(enumerate(texts)))
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(table).collect()}
+    at = len(texts) - len(again)
+    lost = [at + i for i, ok in enumerate(joined) if ok and got[at + i] != 0]
+    assert not lost and all(got[i] == 0 for i in range(at))
+
+
 def test_repeated_rows_nulls_and_empty(spark, docs):
     table = docs([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "z"), (4, "y")])
     got = near_dedup.near_duplicates(table).collect()

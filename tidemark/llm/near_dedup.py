@@ -14,7 +14,11 @@ Candidates are verified by the weighted Jaccard similarity of the whole texts.
 Nodes of a large bucket that do not end up in the class of its pivot are split by
 a second band and go through further rounds with new pivots; so groups of near
 copies of any size take a number of pairs that grows with their size, not its
-square.
+square.  The rounds only save pairs.  Afterwards every node that is still outside
+the class of a pivot is joined, by an exact prefix and length filter, with all
+nodes of other classes that met the same pivot, so that a copy of a copy is found
+however far it is from the pivot: all nodes that share a bucket and are similar
+enough are in one class.
 
 ``near_duplicates`` gives each row its class: the least id of the rows that are
 linked to it directly or through others.  Defined results: null texts count as
@@ -39,7 +43,10 @@ ship(__name__)
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 SMALL = 32
+#: Rounds of pivots before the exact join of what they leave.
 _ROUNDS = 4
+#: Lengths of a bin differ by this factor.
+_BIN = 1.05
 #: Shingles handled at once in a task.
 _CHUNK = 400_000
 
@@ -197,6 +204,109 @@ def _bucketed(rows: DataFrame, small: int) -> DataFrame:
     return held.join(pivots, "bucket", "left")
 
 
+def outside(own: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The shingles of a text that its pivot lacks (an element for each repetition), the number both share, and that of all."""
+    both = np.concatenate([own, pivot])
+    text, h, n = shingles(both.view(np.uint64), np.array([0, len(own)]), np.array([len(own), len(both)]))
+    mine, theirs = text == 0, text == 1
+    ha, na, hb, nb = h[mine], n[mine].astype(np.int64), h[theirs], n[theirs].astype(np.int64)
+    at = np.searchsorted(hb, ha)
+    hit = at < len(hb)
+    hit[hit] = hb[at[hit]] == ha[hit]
+    held = np.zeros(len(ha), np.int64)
+    held[hit] = nb[at[hit]]
+    extra = np.maximum(na - held, 0)
+    k = np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + np.repeat(held, extra)
+    return _mix(np.repeat(ha, extra) + (k + 1).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), int(na.sum() - extra.sum()), int(na.sum())
+
+
+def _beside(batches):
+    for batch in batches:
+        a, b = (batch.column(x) for x in ("wa", "wb"))
+        ao, bo = (np.asarray(x.offsets, dtype=np.int64) for x in (a, b))
+        av, bv = (np.asarray(x.values) for x in (a, b))
+        found = [outside(av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]]) for i in range(batch.num_rows)]
+        rest = pa.array([x.view(np.int64) for x, _, _ in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(x) for x in ("pivot", "node", "class", "open")), pa.array([n for _, _, n in found], pa.int64()),
+             pa.array([o for _, o, _ in found], pa.int64()), rest], names=["pivot", "node", "class", "open", "n", "shared", "rest"])
+
+
+def _prefixes(threshold: float, frequency: np.ndarray):
+    """(row, bin, token) to join on: of every text in the bin of its length, of open texts also in all bins that may match.
+
+    Two texts of n and m shingles are similar if they share need = threshold / (1 + threshold) * (n + m).  At most the
+    lesser number they share with the pivot are shingles of the pivot; the others, if any are needed, must be among
+    those the pivot lacks, so one of them is in the prefixes of both.  If none are needed, the token is 0.
+    """
+    part, step = threshold / (1 + threshold), np.log(_BIN)
+
+    def run(batches):
+        for batch in batches:
+            n, shared, is_open = (np.asarray(batch.column(x).to_numpy(zero_copy_only=False)) for x in ("n", "shared", "open"))
+            offsets = np.asarray(batch.column("rest").offsets, dtype=np.int64)
+            values = np.asarray(batch.column("rest").values).view(np.uint64)
+            row, query, bins, tokens = [], [], [], []
+
+            def add(i, q, b, ranked, need):
+                least = max(1, int(np.ceil(need - 1e-9)))
+                own = ranked[: max(len(ranked) - least + 1, 0)]
+                if need <= 1e-9:
+                    own = np.r_[own, np.uint64(0)]
+                row.append(np.full(len(own), i))
+                query.append(np.full(len(own), q))
+                bins.append(np.full(len(own), b))
+                tokens.append(own)
+
+            for i in range(batch.num_rows):
+                rest = values[offsets[i] : offsets[i + 1]]
+                ranked = rest[np.lexsort((rest, frequency[rest >> np.uint64(48)]))]
+                add(i, False, int(np.log(n[i]) / step), ranked, threshold * n[i] - shared[i])
+                if is_open[i]:
+                    low = threshold * n[i]
+                    for b in range(int(np.log(max(low, 1)) / step - 1e-6), int(np.log(n[i] / threshold) / step + 1e-6) + 1):
+                        add(i, True, b, ranked, part * (n[i] + max(low, _BIN**b * (1 - 1e-9))) - shared[i])
+            flat = lambda x, kind: np.concatenate([np.zeros(0, kind), *x]).astype(kind)
+            at = pa.array(flat(row, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x).take(at) for x in ("pivot", "node", "class", "n", "shared")), pa.array(flat(query, bool)),
+                 pa.array(flat(bins, np.int32)), pa.array(flat(tokens, np.uint64).view(np.int64))],
+                names=["pivot", "node", "class", "n", "shared", "query", "bin", "token"])
+
+    return run
+
+
+def _left_over(met: DataFrame, roots: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame | None:
+    """(a, b): nodes of different classes with one pivot that may be similar; ``met``: pivot, node of the large buckets."""
+    own, theirs = roots.select("node", F.col("root").alias("class")), roots.select(F.col("node").alias("pivot"), F.col("root").alias("_theirs"))
+    classed = (met.where(F.col("node") != F.col("pivot")).distinct().join(own, "node", "left").join(theirs, "pivot", "left")
+               .select("pivot", "node", F.coalesce("class", "node").alias("class"), F.coalesce("_theirs", "pivot").alias("_theirs")))
+    classed = materialize(classed.select("pivot", "node", "class", (F.col("class") != F.col("_theirs")).alias("open")), "outside")
+    if classed.where("open").isEmpty():
+        return None
+    rows = classed.join(classed.where("open").select("pivot").distinct(), "pivot", "left_semi")
+    texts = (rows.join(a.withColumnRenamed("a", "node"), "node").join(b.withColumnRenamed("b", "pivot"), "pivot")
+             .select("pivot", "node", "class", "open", _word_hashes("ta").alias("wa"), _word_hashes("tb").alias("wb")))
+    beside = materialize(texts.mapInArrow(
+        _beside, "pivot binary, node binary, class binary, open boolean, n long, shared long, rest array<long>"), "beside")
+    # Any order of the shingles is right; rare ones first make the fewest pairs.  Frequencies are those of 2^16 parts of the hashes.
+    frequency = np.zeros(1 << 16, np.int64)
+    for r in beside.select(F.explode("rest").alias("h")).select(F.shiftrightunsigned("h", 48).alias("k")).groupBy("k").count().collect():
+        frequency[r["k"]] = r["count"]
+    keys = ["pivot", "bin", "token"]
+    held = materialize(beside.mapInArrow(
+        _prefixes(threshold, frequency),
+        "pivot binary, node binary, class binary, n long, shared long, query boolean, bin int, token long"), "prefixes")
+    # Shingles that only one class has tell nothing.
+    mixed = held.groupBy(*keys).agg(F.min("class").alias("_l"), F.max("class").alias("_g")).where("_l <> _g").select(*keys)
+    l = held.where("query").join(mixed, keys, "left_semi").select(*keys, *(F.col(x).alias(f"_{x}") for x in ("node", "class", "n", "shared")))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("_n") + F.col("n"))
+    able = (F.col("token") != 0) | (need <= F.least("_shared", "shared") + 1e-9)
+    near = F.least("_n", "n") >= F.lit(threshold - 1e-12) * F.greatest("_n", "n")
+    return (l.join(held.where("NOT query"), keys).where((F.col("_class") != F.col("class")) & near & able)
+            .select(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b")).distinct())
+
+
 def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS,
           small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, similarity) between different texts, and the roots (node, root) of those linked."""
@@ -210,16 +320,21 @@ def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands:
         texts = own.join(met.where("n > 0").select("node"), "node", "left_semi").dropDuplicates(["node"])
         words = materialize(texts.select("node", "t"), "texts")
     a, b = (words.select(F.col("node").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
+    shared = open_rows.where(F.col("size") > small).select("pivot", "node")
     found = tried = None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", _word_hashes("ta").alias("wa"), _word_hashes("tb").alias("wb"))
+        return materialize(both.mapInArrow(_verifier(threshold), "a binary, b binary, similarity double"), "links")
+
     for turn in range(_ROUNDS):
         pairs = _candidates(open_rows, threshold, small)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", _word_hashes("ta").alias("wa"), _word_hashes("tb").alias("wb"))
-        verified = materialize(both.mapInArrow(_verifier(threshold), "a binary, b binary, similarity double"), "links")
-        found = verified if found is None else found.union(verified)
+        new = verified(pairs)
+        found = new if found is None else found.union(new)
         roots = connected_components(found.select("a", "b"))
         # What is left: nodes of large buckets outside the class of their pivot.
         large = open_rows.where(F.col("size") > small)
@@ -236,6 +351,10 @@ def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands:
             rest = (rest.join(second, "node").where(F.col("bucket") < F.col("_second"))
                     .select(F.xxhash64("bucket", "_second").alias("bucket"), "node", "n"))
         open_rows = materialize(_bucketed(rest, small), "buckets")
+    pairs = _left_over(shared, roots, a, b, threshold)
+    if pairs is not None:
+        found = found.union(verified(materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")))
+        roots = connected_components(found.select("a", "b"))
     return found, roots
 
 
