@@ -206,6 +206,28 @@ def test_sections_are_kept_together():
     assert len(html_text.extract(page).split("\n\n")) == 11
 
 
+@pytest.mark.parametrize("outer", ["main", "article", "div"])
+def test_short_sections_stay_beside_a_dense_one(outer):
+    dense = "<section>" + "".join(f"<p>{'word ' * 60}{i}</p>" for i in range(5)) + "</section>"
+    short = "<section><h2>List</h2><ul>" + "".join(f"<li>a rather short item of {i}</li>" for i in range(10)) + "</ul></section>"
+    cells = "<table>" + "".join(f"<tr><td>cell {i}</td><td>{i}</td></tr>" for i in range(4)) + "</table>"
+    links = "<div><a href=x>one</a> <a href=y>two</a></div>"
+    got = html_text.extract(f"<body>{links}<{outer}>{dense}{short}{cells}</{outer}>{links}</body>")
+    assert all(f"item of {i}" in got for i in range(10)) and all(f"cell {i}" in got for i in range(4)) and "one" not in got and len(got.split("\n\n")) == 24
+
+
+@pytest.mark.parametrize("start,end", [("<div class='content has-sidebar'>", "</div>"), ("<div id=with-nav>", "</div>"), ("<form action=x>", "</form>"),
+                                       ("<div class=no-related><form>", "</form></div>"), ("<div class=has-comments><h1>T</h1>", "</div>")])
+def test_wrappers_around_the_page_stay(start, end):
+    text = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(5))
+    side = "<div class=sidebar><p>Side text that is quite dense and would be found.</p></div><form><p>Subscribe</p></form>"
+    got = html_text.extract(f"<body><div><a href=x>home</a></div>{start}<div>{text}</div>{side}{end}</body>")
+    assert got.count("word") == 200 and "Side" not in got and "Subscribe" not in got
+    comments = "<section id=comments><article class=comment><p>" + "I disagree at length. " * 90 + "</p></article></section>"
+    got = html_text.extract(f"<body><article>{text}</article>{comments}</body>")
+    assert got.count("word") == 200 and "disagree" not in got
+
+
 def test_pages_nulls_and_repeats(spark):
     df = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("old"))
     got = html_text.extract_pages(df)

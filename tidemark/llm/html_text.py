@@ -5,11 +5,15 @@ share of its characters and tags that are links (marks inside a text, as bold or
 line breaks, do not count as tags).  A node's density sum adds the
 densities of its children, and the node of the greatest sum leads the article.
 The least density on the path from it to the body is the threshold: in every
-other node at or above it, the part of the greatest sum is article as well.
+other node at or above it, the part of the greatest sum is article as well.  So is
+the whole of the ``article`` or ``main`` around the lead, or without one what is not
+mostly links beside it in its container: short sections, lists and tables.
 
 Menus, forms, adverts, notices, sidebars, footers and reader comments that say
 what they are (by tag, role, class or id) are taken out first, so that a dense
-advert cannot win.
+advert cannot win.  A form, or a node whose class or id says so, stays if it holds
+most of the page's characters and all of its ``article`` and ``main`` elements: it
+is around the page then.
 
 Defined results: null and empty pages give an empty text, as do pages without a
 dense part; unclosed tags end where HTML ends them (a new paragraph, item, row or
@@ -62,30 +66,35 @@ _NOT_WORDS = frozenset(
     "share sharing social related recommended recommendations widget widgets toolbar disclaimer outbrain taboola paywall".split())
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies discussion".split())
 _KEEP = frozenset("html body main".split())
+#: Why a node is taken out: for good, as a form or by a word, by a word for comments.
+_HARD, _SOFT, _COMMENT = 1, 2, 3
 
 
 class _Node:
     __slots__ = ("tag", "parent", "items", "pruned", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "marked")
 
-    def __init__(self, tag, parent, pruned=False):
+    def __init__(self, tag, parent, pruned=0):
         self.tag, self.parent, self.items, self.pruned = tag, parent, [], pruned
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.best, self.marked = self, False
 
 
-def _is_boilerplate(tag: str, attributes: str, inside: set[str]) -> bool:
-    if tag in _NOT_TAGS or (tag == "header" and not inside & {"article", "main"}):
-        return True
+def _boilerplate(tag: str, attributes: str, inside: set[str]) -> int:
+    if tag in _NOT_TAGS and tag != "form" or (tag == "header" and not inside & {"article", "main"}):
+        return _HARD
+    soft = _SOFT if tag == "form" else 0
     if not attributes.strip() or tag in _KEEP:
-        return False
+        return soft
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in _NOT_ROLES or "hidden" in found or found.get("aria-hidden") == "true":
-        return True
+        return _HARD
     if re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return _HARD
     words = {w.lower() for w in _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    return bool(words & _COMMENT_WORDS) or tag != "article" and bool(words & _NOT_WORDS)
+    if words & _COMMENT_WORDS:
+        return _COMMENT
+    return _SOFT if tag != "article" and words & _NOT_WORDS else soft
 
 
 def parse(page: str) -> _Node:
@@ -126,7 +135,7 @@ def parse(page: str) -> _Node:
                 break
         if cut:
             del stack[cut:]
-        node = _Node(tag, stack[-1], stack[-1].pruned or _is_boilerplate(tag, found.group(3), {x.tag for x in stack}))
+        node = _Node(tag, stack[-1], _boilerplate(tag, found.group(3), {x.tag for x in stack}))
         stack[-1].items.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -138,6 +147,28 @@ def parse(page: str) -> _Node:
     return root
 
 
+def _spare(root: _Node) -> None:
+    """Keep nodes that are taken out by a word or as a form, but are around the page."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node.items if isinstance(x, _Node) and x.pruned != _HARD]
+    if not any(x.pruned for x in order):
+        return
+    chars, core, heads = {}, {}, {}
+    for node in reversed(order):
+        own = [x for x in node.items if isinstance(x, _Node) and x.pruned != _HARD]
+        n = chars[node] = sum(len(_SPACE.sub("", x)) for x in node.items if isinstance(x, str)) + sum(chars[x] for x in own)
+        # Reader comments are often articles too: they are none of the page's.
+        whole = bool(n) and node.tag in ("article", "main") and not node.pruned
+        heads[node] = whole or node.tag == "h1" or any(heads[x] for x in own)
+        core[node] = whole + sum(core[x] for x in own if x.pruned != _COMMENT or heads[x])
+    for node in order:
+        if node.pruned and 2 * chars[node] > chars[root] and core[node] == core[root] and (node.pruned != _COMMENT or heads[node]):
+            node.pruned = 0
+
+
 def _counts(node: _Node) -> bool:
     """Blocks and links count as tags; marks within a text do not."""
     return node.tag in _BLOCK or node.tag == "a"
@@ -196,13 +227,25 @@ def _mark(body: _Node) -> None:
             node.best.marked = True
             if node.best is not node:
                 stack += [x for x in node.items if isinstance(x, _Node) and not x.pruned]
+    # Beside the lead, its container is article even where it is not dense.
+    node = lead
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    if node is not None:
+        node.marked = True
+    elif lead is not body and lead.parent is not None and lead.parent is not body and lead.parent.tag != "html":
+        for x in lead.parent.items:
+            if isinstance(x, _Node) and not x.pruned and 2 * x.link_chars <= x.chars:
+                x.marked = True
 
 
 def extract(page: str | None) -> str:
     """The article of a page: its blocks, joined by an empty line."""
     if not page:
         return ""
-    body = _measure(parse(page))[0]
+    root = parse(page)
+    _spare(root)
+    body = _measure(root)[0]
     _mark(body)
     blocks, part = [], []
 
