@@ -160,6 +160,14 @@ def test_pseudonyms(docs):
     assert pii.pseudonymize(docs([]), key="k").count() == 0
 
 
+@pytest.mark.parametrize("before", ["_", "-", "+", ".", "%", "é", "é.", "für.", "a@b.com-", "a@b.com,", "(", ""])
+def test_addresses_after_any_character(docs, before):
+    got = pii.pseudonymize(docs([(1, f"x {before}joe12@mail7.example.com_ y"), (2, before + "joe12@x.com")]), key="k").collect()
+    for r in got:
+        assert r.n_email == 1 + before.count("@") and "joe12" not in r.text and not re.search(r"\bfür", r.text)
+        assert len(r.text) == len(before) + {1: 28, 2: 11}[r.doc_id]
+
+
 def test_permutations(spark):
     days = spark.range(72_900).select(pii._pair_permutation(F.col("id"), 270, "k", "date").alias("x"))
     assert days.distinct().count() == 72_900 and days.agg(F.min("x"), F.max("x")).first() == (0, 72_899)

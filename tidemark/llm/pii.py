@@ -6,7 +6,8 @@ permutes each value within its own format.  The permutation depends on the key,
 the kind and the value alone, so equal values get equal pseudonyms in every
 document and different values never meet.
 
-* ``email``: the local part, each letter or digit within its class;
+* ``email``: the local part, each ASCII letter or digit within its class (other
+  letters stay);
 * ``phone``: all digits but the country code;
 * ``card``: all digits but the last, which becomes the Luhn digit again;
 * ``ssn`` and ``secret``: all letters and digits within their class (a secret
@@ -32,7 +33,8 @@ KINDS = ("email", "phone", "card", "ssn", "ip", "date", "secret")
 
 _SECRET = (r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]{16})"
            r"(?<=(?i:token|key|secret|password|passwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{16,}+")
-_EMAIL = (r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,}+")
+#: A local part is the whole run of its characters, or what an address before it left of the run.
+_EMAIL = (r"(?:\G|(?<![\p{L}0-9._%+\-]))[\p{L}0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,}+")
 _PHONE = (r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])")
 _IP = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 _DATE = (r"(?<![0-9A-Za-z/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
