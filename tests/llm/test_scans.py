@@ -79,6 +79,13 @@ def test_decontamination_is_exact(spark, docs):
     assert decontaminate.decontaminate(table, bench.limit(0)).count() == len(texts)
 
 
+def test_only_rows_with_an_item_go(spark, docs):
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    table = docs([(None, "x a b c d e f"), (None, "clean text"), (None, None), (7, "a b c d e f y"), (7, "other clean text"), (8, "clean text")])
+    left = decontaminate.decontaminate(table, bench)
+    assert rows(left, "doc_id", "text") == sorted([(None, "clean text"), (None, None), (7, "other clean text"), (8, "clean text")], key=repr)
+
+
 # --- 6: quality rules
 
 

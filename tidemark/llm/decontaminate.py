@@ -61,6 +61,11 @@ def signatures(items: DataFrame, *, threshold: float = 0.8, item: str = "item_id
 def search(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, key: str = "doc_id", item: str = "item_id",
            text: str = "text", width: int = SHINGLE) -> DataFrame:
     """(key, item, n_shingles, n_shared, containment) for each pair at or above the threshold."""
+    return _search(docs, items, threshold, key, item, text, width).drop("_id", "_hash")
+
+
+def _search(docs: DataFrame, items: DataFrame, threshold: float, key: str, item: str, text: str, width: int = SHINGLE) -> DataFrame:
+    """The pairs of ``search``, with what identifies the row of a document: _id and _hash."""
     signed = materialize(signatures(items, threshold=threshold, item=item, text=text, width=width).distinct(), "signatures")
     keyed = docs.select(F.col(key), F.coalesce(F.col(key).cast("string"), F.lit("\u0000")).alias("_id"),
                         F.xxhash64(text).alias("_hash"), words(F.col(text)).alias("_w"))
@@ -73,7 +78,7 @@ def search(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, key: st
     pairs = (texts.select(key, "_id", "_hash", shingle_texts(F.col("_w"), width).alias("_doc"))
              .join(candidates, ["_id", "_hash"]).join(whole, "_item"))
     shared = F.size(F.array_intersect("_own", "_doc"))
-    found = pairs.select(key, F.col("_item").alias(item), F.size("_own").cast("long").alias("n_shingles"),
+    found = pairs.select("_id", "_hash", key, F.col("_item").alias(item), F.size("_own").cast("long").alias("n_shingles"),
                          shared.cast("long").alias("n_shared"))
     share = F.col("n_shared") / F.col("n_shingles")
     return found.withColumn("containment", share).where(F.col("containment") >= threshold)
@@ -82,7 +87,8 @@ def search(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, key: st
 def decontaminate(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, key: str = "doc_id", item: str = "item_id",
                   text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    leaks = materialize(search(docs, items, threshold=threshold, key=key, item=item, text=text)
-                        .select(F.coalesce(F.col(key).cast("string"), F.lit("\u0000")).alias("_leak")).distinct(), "leaks")
+    found = _search(docs, items, threshold, key, item, text)
+    leaks = materialize(found.select(F.col("_id").alias("_leak"), F.col("_hash").alias("_leak_hash")).distinct(), "leaks")
     own = F.coalesce(docs[key].cast("string"), F.lit("\u0000"))
-    return docs.join(leaks, own == leaks["_leak"], "left_anti")
+    # Ids may be null or repeated: only the rows that hold an item go.
+    return docs.join(leaks, (own == leaks["_leak"]) & (F.xxhash64(docs[text]) == leaks["_leak_hash"]), "left_anti")
