@@ -57,6 +57,15 @@ def test_quotes_of_a_long_chain(spark):
     assert all(got[8, i].parent_turn == 0 for i in range(1, n)) and got[8, 0].parent_turn is None
 
 
+def test_quotes_of_text_repeated_later(spark):
+    """The least original is a later turn of the quoting conversation; that of another one counts."""
+    rows = [(5, 0, "> Same words.\nhm"), (5, 4, "same words."), (9, 2, "Same words."), (9, 1, "other"), (6, 0, "> hm\nx"), (9, 7, "Same  words."),
+            (None, 0, "> first here\ny"), (None, 3, "first here"), (2, 5, "first here")]
+    got = {(r.conv_id, r.turn): r for r in quote_links.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert [(x.conv_id, x.turn) for x in got[5, 0].links] == [(9, 2)] and got[5, 0].parent_turn is None
+    assert [(x.conv_id, x.turn) for x in got[None, 0].links] == [(2, 5)] and len(got) == len(rows)
+
+
 # --- 5: quality classifier
 
 

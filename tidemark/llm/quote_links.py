@@ -105,13 +105,17 @@ def link_quotes(messages: DataFrame, *, conversation: str = "conv_id", turn: str
                  .select("_id", "_c", "_t", "u.level", "u.passage", "u.rank", F.unhex(F.md5("u.text")).alias("_h")))
     own = all_units.where("level = 0 AND _t IS NOT NULL")
     inside = own.groupBy("_c", "_h").agg(F.min("_t").alias("_first")).withColumnsRenamed({"_c": "_ic", "_h": "_ih"})
-    anywhere = own.groupBy("_h").agg(F.min(F.struct("_c", "_t")).alias("_any"))
+    # One row a hash: the least original, and the least one of all other conversations for quotes in that of the first.
+    firsts = materialize(own.groupBy("_h", "_c").agg(F.min("_t").alias("_t")), "originals")
+    least = firsts.groupBy("_h").agg(F.min(F.struct("_c", "_t")).alias("_any"))
+    seconds = firsts.join(least, "_h").where(~F.col("_any._c").eqNullSafe(F.col("_c"))).groupBy("_h").agg(F.min(F.struct("_c", "_t")).alias("_next"))
+    anywhere = least.join(seconds, "_h", "left")
     quoted = materialize(all_units.where("level > 0"), "quotes")
     looked = (quoted.join(inside, F.col("_c").eqNullSafe(F.col("_ic")) & (F.col("_h") == F.col("_ih")) & (F.col("_first") < F.col("_t")), "left")
               .join(anywhere, "_h", "left"))
     same = F.col("_first").isNotNull()
-    other = F.col("_any").isNotNull() & ~F.col("_any._c").eqNullSafe(F.col("_c"))
-    link = F.when(same, F.struct("_c", F.col("_first").alias("_t"))).when(other, F.struct(F.col("_any._c"), F.col("_any._t")))
+    other = F.when(~F.col("_any._c").eqNullSafe(F.col("_c")), F.col("_any")).otherwise(F.col("_next"))
+    link = F.when(same, F.struct("_c", F.col("_first").alias("_t"))).when(F.col("_any").isNotNull(), other)
     # The best unit of a passage decides: in the conversation first, then the larger unit.
     best = (looked.withColumn("_link", link).where(F.col("_link").isNotNull())
             .groupBy("_id", "level", "passage").agg(F.min(F.struct((~same).alias("far"), "rank", "_link")).alias("b")))
