@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter
 from math import comb
 
@@ -36,6 +37,21 @@ def test_licenses(docs):
     assert got.count() == 10 and license_scan.scan(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+@pytest.mark.parametrize("width", [30, 75])
+def test_wrapped_notices(docs, mark, width):
+    notices = [(label, notice) for label, notice in license_scan.TEMPLATES]
+    wrap = lambda x: "".join(f"{mark}{y}\n" for y in textwrap.wrap(x, width))
+    texts = [f"/*\n{mark}Some file.\n{mark}\n{wrap(x)}{mark}\n{mark}The end.\n" for _, x in notices]
+    got = {r.doc_id: r for r in license_scan.scan(docs(list(enumerate(texts)))).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score >= 0.8 and got[i].n_blocks >= 1 for i, (label, _) in enumerate(notices))
+    # Halves of a notice that a blank line parts are two blocks; two notices of one paragraph on lines of their own are two.
+    half = notices[2][1].split(",")
+    rows = [(1, half[0] + "\n\n" + ",".join(half[1:])), (2, "\n".join([notices[2][1], "x", notices[2][1]]))]
+    got = {r.doc_id: (r.labels, r.n_blocks) for r in license_scan.scan(docs(rows)).collect()}
+    assert got == {1: ("", 0), 2: ("bsd", 2)}
+
+
 @pytest.mark.parametrize("threshold", [0.6, 0.8, 1.0])
 def test_license_join_is_exact(spark, threshold):
     r = random.Random(1)

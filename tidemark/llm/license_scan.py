@@ -1,7 +1,9 @@
 """License scan: phrases, and an exact set-similarity join with notice templates.
 
-A text block (a line by default) matches a template when it holds at least
-``threshold`` of the template's distinct words.  The join is exact:
+A text block matches a template when it holds at least ``threshold`` of the
+template's distinct words.  A block is a line, or, where no line of a paragraph
+matches the template, the paragraph: neighbouring lines that have words, so that a
+wrapped notice is found, with or without comment marks.  The join is exact:
 
 * tokens are ordered by their document frequency over all blocks, rarest first;
 * a match of overlap ``a`` must share a token within the first ``|T| - a + 1``
@@ -11,6 +13,9 @@ A text block (a line by default) matches a template when it holds at least
   ``min(i, j) + 1 + min(|B| - i, |T| - j) - 1`` (positional filter);
 * what is left is verified on the whole sets.
 
+What a line holds its paragraph holds too, so paragraphs are joined, and only the
+lines of those that match are looked at.
+
 Words that no template has cannot be shared, so blocks keep template words
 only; the templates are a parameter and bound what is broadcast.
 
@@ -93,7 +98,9 @@ def phrase_places(docs: DataFrame, text: str = "text", phrases=PHRASES) -> DataF
 
 
 def _blocks(docs: DataFrame, text: str, block: str) -> DataFrame:
-    return docs.select("_id", "_hash", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), block, -1)).alias("_block", "_line"))
+    """The paragraphs of the texts: lines without words part them."""
+    gap = f"(?:{block}){_NOT_WORD[:-1]}*(?:{block})"
+    return docs.select("_id", "_hash", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), gap, -1)).alias("_part", "_lines"))
 
 
 def template_matches(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, block: str = "\n",
@@ -107,14 +114,15 @@ def template_matches(docs: DataFrame, *, text: str = "text", threshold: float =
     need = [math.ceil(threshold * len(words) - 1e-9) for _, words in sets]
     vocabulary = sorted({w for _, words in sets for w in words})
     least = min(need)
-    words = F.regexp_extract_all(F.lower("_line"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    words_of = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    words = words_of(F.col("_lines"))
     blocks = _blocks(docs, text, block)
     # Document frequencies over all blocks: as many rows as the templates have words.
     counted = (blocks.select(F.explode(F.array_intersect(_array(vocabulary), words)).alias("w")).groupBy("w").count()
                .collect())
     df = {r["w"]: r["count"] for r in counted}
     order = sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
-    held = (blocks.withColumn("_t", F.array_intersect(_array(order), words)).drop("_line")
+    held = (blocks.withColumn("_t", F.array_intersect(_array(order), words))
             .where(F.size("_t") >= least))
     probes = held.select("*", F.posexplode(F.slice("_t", F.lit(1), F.size("_t") - least + 1)).alias("_i", "_w"))
     rank = {w: i for i, w in enumerate(order)}
@@ -129,8 +137,14 @@ def template_matches(docs: DataFrame, *, text: str = "text", threshold: float =
     candidates = (probes.join(F.broadcast(prefixes), "_w")
                   .where((size >= F.col("_need")) & (F.col("_i") <= size - F.col("_need")) & (ahead >= F.col("_need"))))
     shared = F.size(F.array_intersect("_own", "_t"))
-    return (candidates.withColumn("_shared", shared).where(F.col("_shared") >= F.col("_need"))
-            .groupBy("_id", "_hash", "_block", "_template").agg(F.first("label").alias("label"),
+    found = candidates.withColumn("_shared", shared).where(F.col("_shared") >= F.col("_need"))
+    by_line = F.transform(F.split("_lines", block, -1), lambda x, i: F.struct(
+        i.alias("line"), F.size(F.array_intersect("_own", words_of(x))).alias("shared")))
+    lines = F.filter(by_line, lambda x: x["shared"] >= F.col("_need"))
+    whole = F.array(F.struct(F.lit(-1).alias("line"), F.col("_shared").alias("shared")))
+    each = (found.withColumn("_l", lines).withColumn("_l", F.explode(F.when(F.size("_l") > 0, F.col("_l")).otherwise(whole)))
+            .withColumns({"_block": F.struct("_part", "_l.line"), "_shared": F.col("_l.shared")}))
+    return (each.groupBy("_id", "_hash", "_block", "_template").agg(F.first("label").alias("label"),
                                                                F.max(F.col("_shared") / own).alias("containment")))
 
 
