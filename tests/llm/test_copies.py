@@ -83,6 +83,18 @@ def test_large_buckets_lose_no_link(docs):
     assert sizes == {90: 1, 6: 1}
 
 
+def test_pairs_within_shared_boilerplate(docs):
+    """Texts that share most of their words with all others, and enough with one of them only."""
+    word, texts = lambda kind, k: f"{kind}{k}", []
+    common = [word("c", k) for k in range(400)]
+    for p in range(200):
+        pair = [word("p", f"{p}x{k}") for k in range(14)]
+        texts += [" ".join(common + pair + [word("o", f"{p}x{q}x{k}") for k in range(42)]) for q in range(2)]
+    assert similarity(texts[0], texts[1]) >= 0.8 > similarity(texts[0], texts[2])
+    got = near_dedup.near_duplicates(docs(list(enumerate(texts)))).collect()
+    assert all(r.class_id == r.doc_id // 2 * 2 and r.class_size == 2 for r in got) and len(got) == 400
+
+
 def test_copies_are_linked_through_their_original(docs):
     """Copies that are close to one text and not to each other, beside some that are too far from it."""
     r = random.Random(10)

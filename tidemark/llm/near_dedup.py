@@ -14,7 +14,7 @@ Candidates are verified by the weighted Jaccard similarity of the whole texts.
 Nodes of a large bucket that do not end up in the class of its pivot are split by
 a second band and go through further rounds with new pivots; so groups of near
 copies of any size take a number of pairs that grows with their size, not its
-square.  The rounds only save pairs.  Afterwards every node that is still outside
+square.  The rounds only save pairs and go on while they link many.  Afterwards every node that is still outside
 the class of a pivot is joined, by an exact prefix and length filter, with all
 nodes of other classes that met the same pivot, so that a copy of a copy is found
 however far it is from the pivot: all nodes that share a bucket and are similar
@@ -35,27 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, boxed, materialize, prefiltered, ship, unboxed
+from .common import boxed, materialize, prefiltered, ship, unboxed
 from .components import connected_components
+from .words import mix, pieces, word_hashes
 
 ship(__name__)
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 SMALL = 32
-#: Rounds of pivots before the exact join of what they leave.
-_ROUNDS = 4
 #: Lengths of a bin differ by this factor.
 _BIN = 1.05
-#: Shingles handled at once in a task.
-_CHUNK = 400_000
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit words."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def shingles(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = SHINGLE):
@@ -64,12 +54,13 @@ def shingles(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int
     text = np.repeat(np.arange(len(n)), n)
     left = np.repeat(ends, n) - (np.arange(len(text)) + np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n))
     flat = words[starts[0] : ends[-1]] if len(n) else words[:0]
-    h = np.full(len(flat), 0x9E3779B97F4A7C15, np.uint64)
+    h = np.zeros(len(flat), np.uint64)
     for k in range(width):
-        # Beyond the end of a short text nothing is mixed in.
+        # Beyond the end of a short text nothing is added.
         ahead = np.zeros(len(flat), np.uint64)
         ahead[: max(len(flat) - k, 0)] = flat[k:]
-        h = np.where(left > k, _mix(h * np.uint64(0x9FB21C651E98DF25) + ahead), h)
+        h = h * np.uint64(0x9FB21C651E98DF25) + np.where(left > k, ahead, np.uint64(0))
+    h = mix(h)
     whole = np.repeat(np.minimum(n, width), n)
     ok = left >= whole
     text, h = text[ok], h[ok]
@@ -87,9 +78,9 @@ def prob_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, text
     time = np.zeros(len(element))
     r = 0
     while len(element):
-        random = _mix(element + np.uint64((2 * r + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        random = mix(element + np.uint64((2 * r + 1) * 0x9E3779B97F4A7C15 % 2**64))
         gap = -np.log(((random >> np.uint64(11)).astype(float) + 0.5) / 2.0**53)
-        slot = (_mix(random ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(slots)).astype(np.int64)
+        slot = (mix(random ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(slots)).astype(np.int64)
         time = time + gap / weight
         place = text * slots + slot
         np.minimum.at(first, place, time)
@@ -102,28 +93,18 @@ def prob_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, text
     return signature.reshape(texts, slots)
 
 
-def _chunks(starts: np.ndarray, ends: np.ndarray):
-    begin = 0
-    while begin < len(starts):
-        end = max(begin + 1, int(np.searchsorted(ends, starts[begin] + _CHUNK)))
-        yield begin, end
-        begin = end
-
-
 def _signer(bands: int, rows: int):
     def sign(batches):
         for batch in batches:
-            lists = batch.column("words")
-            offsets = np.asarray(lists.offsets, dtype=np.int64)
-            words = np.asarray(lists.values).view(np.uint64)
-            starts, ends = offsets[:-1], offsets[1:]
-            for a, b in _chunks(starts, ends):
-                text, element, weight = shingles(words, starts[a:b], ends[a:b])
+            texts = batch.column("t")
+            for a, b in pieces(texts):
+                words, bounds = word_hashes(texts.slice(a, b - a))
+                text, element, weight = shingles(words, bounds[:-1], bounds[1:])
                 total = np.bincount(text, weight, b - a).astype(np.int64)
                 signature = prob_minhash(text, element, weight, b - a, bands * rows).reshape(b - a, bands, rows)
                 key = np.zeros((b - a, bands), np.uint64) + np.arange(bands, dtype=np.uint64)
                 for k in range(rows):
-                    key = _mix(key * np.uint64(0x9FB21C651E98DF25) + signature[:, :, k])
+                    key = mix(key * np.uint64(0x9FB21C651E98DF25) + signature[:, :, k])
                 keep = np.flatnonzero(total > 0)
                 flat = pa.array(key[keep].view(np.int64).ravel(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -134,10 +115,6 @@ def _signer(bands: int, rows: int):
     return sign
 
 
-def _word_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x))
-
-
 def text_node(text: Column) -> Column:
     """The identity of a text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("node")
@@ -145,7 +122,7 @@ def text_node(text: Column) -> Column:
 
 def signatures(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, n, bands): one row per different text with words."""
-    own = docs.select(text_node(F.col(text)), _word_hashes(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    own = docs.select(text_node(F.col(text)), F.col(text).alias("t"))
     signed = own.mapInArrow(_signer(bands, rows), "node binary, n long, bands array<long>")
     return signed.dropDuplicates(["node"])
 
@@ -162,17 +139,23 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(shared / (n.sum() - shared)) if len(n) else 0.0
 
 
+def _sides(batch):
+    """The word hashes of both texts of every row."""
+    a, b = (word_hashes(batch.column(x)) for x in ("ta", "tb"))
+    for i in range(batch.num_rows):
+        yield a[0][a[1][i] : a[1][i + 1]], b[0][b[1][i] : b[1][i + 1]]
+
+
 def _verifier(threshold: float):
     def verify(batches):
-        for batch in batches:
-            a, b = (batch.column(x) for x in ("wa", "wb"))
-            ao, bo = (np.asarray(x.offsets, dtype=np.int64) for x in (a, b))
-            av, bv = (np.asarray(x.values) for x in (a, b))
-            sims = [similarity(av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]]) for i in range(batch.num_rows)]
-            keep = pa.array(np.flatnonzero(np.array(sims) >= threshold - 1e-12))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").take(keep), batch.column("b").take(keep), pa.array(sims, pa.float64()).take(keep)],
-                names=["a", "b", "similarity"])
+        for whole in batches:
+            for a, b in pieces(whole.column("ta")):
+                batch = whole.slice(a, b - a)
+                sims = np.array([similarity(x, y) for x, y in _sides(batch)])
+                keep = pa.array(np.flatnonzero(sims >= threshold - 1e-12))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("a").take(keep), batch.column("b").take(keep), pa.array(sims, pa.float64()).take(keep)],
+                    names=["a", "b", "similarity"])
 
     return verify
 
@@ -199,9 +182,11 @@ def _bucketed(rows: DataFrame, small: int) -> DataFrame:
     held = materialize(rows.join(sizes, "bucket"), "held")
     many = held.where(F.col("size") > small)
     rank = many.groupBy("node").agg((-F.sum("size")).alias("rank"))
-    pivots = (many.join(rank, "node").groupBy("bucket").agg(F.min(F.struct("rank", "node", "n")).alias("p"))
-              .select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")))
-    return held.join(pivots, "bucket", "left")
+    # Written, so that a bucket with much of the table can be dealt to many tasks when its nodes meet the pivot.
+    ranked = materialize(many.join(rank, "node"), "ranked")
+    pivots = materialize(ranked.groupBy("bucket").agg(F.min(F.struct("rank", "node", "n")).alias("p"))
+                         .select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
+    return materialize(held.join(pivots, "bucket", "left"), "buckets")
 
 
 def outside(own: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, int, int]:
@@ -217,65 +202,81 @@ def outside(own: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, int, int]:
     held[hit] = nb[at[hit]]
     extra = np.maximum(na - held, 0)
     k = np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + np.repeat(held, extra)
-    return _mix(np.repeat(ha, extra) + (k + 1).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), int(na.sum() - extra.sum()), int(na.sum())
+    return mix(np.repeat(ha, extra) + (k + 1).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), int(na.sum() - extra.sum()), int(na.sum())
 
 
 def _beside(batches):
-    for batch in batches:
-        a, b = (batch.column(x) for x in ("wa", "wb"))
-        ao, bo = (np.asarray(x.offsets, dtype=np.int64) for x in (a, b))
-        av, bv = (np.asarray(x.values) for x in (a, b))
-        found = [outside(av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]]) for i in range(batch.num_rows)]
-        rest = pa.array([x.view(np.int64) for x, _, _ in found], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(x) for x in ("pivot", "node", "class", "open")), pa.array([n for _, _, n in found], pa.int64()),
-             pa.array([o for _, o, _ in found], pa.int64()), rest], names=["pivot", "node", "class", "open", "n", "shared", "rest"])
+    for whole in batches:
+        for a, b in pieces(whole.column("ta")):
+            batch = whole.slice(a, b - a)
+            found = [outside(x, y) for x, y in _sides(batch)]
+            rest = pa.array([x.view(np.int64) for x, _, _ in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in ("pivot", "node", "class", "open")), pa.array([n for _, _, n in found], pa.int64()),
+                 pa.array([o for _, o, _ in found], pa.int64()), rest], names=["pivot", "node", "class", "open", "n", "shared", "rest"])
+
+
+def _part(token: np.ndarray) -> np.ndarray:
+    return token >> np.uint64(48)
 
 
-def _prefixes(threshold: float, frequency: np.ndarray):
-    """(row, bin, token) to join on: of every text in the bin of its length, of open texts also in all bins that may match.
+def _prefixes(threshold: float, frequency: np.ndarray, asked: np.ndarray | None = None):
+    """(row, bin, token) to join on: of open texts in all bins that may match; with ``asked``, of every text in the bin of its length.
 
     Two texts of n and m shingles are similar if they share need = threshold / (1 + threshold) * (n + m).  At most the
     lesser number they share with the pivot are shingles of the pivot; the others, if any are needed, must be among
     those the pivot lacks, so one of them is in the prefixes of both.  If none are needed, the token is 0.
+    ``asked`` tells which parts of the hashes open texts ask for; others cannot meet one.
     """
     part, step = threshold / (1 + threshold), np.log(_BIN)
 
     def run(batches):
         for batch in batches:
-            n, shared, is_open = (np.asarray(batch.column(x).to_numpy(zero_copy_only=False)) for x in ("n", "shared", "open"))
+            n, shared = (np.asarray(batch.column(x).to_numpy(zero_copy_only=False)) for x in ("n", "shared"))
             offsets = np.asarray(batch.column("rest").offsets, dtype=np.int64)
             values = np.asarray(batch.column("rest").values).view(np.uint64)
-            row, query, bins, tokens = [], [], [], []
+            row, bins, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
 
-            def add(i, q, b, ranked, need):
+            def add(i, b, ranked, need):
                 least = max(1, int(np.ceil(need - 1e-9)))
                 own = ranked[: max(len(ranked) - least + 1, 0)]
+                if asked is not None:
+                    own = own[asked[_part(own)]]
                 if need <= 1e-9:
                     own = np.r_[own, np.uint64(0)]
                 row.append(np.full(len(own), i))
-                query.append(np.full(len(own), q))
                 bins.append(np.full(len(own), b))
                 tokens.append(own)
 
             for i in range(batch.num_rows):
                 rest = values[offsets[i] : offsets[i + 1]]
-                ranked = rest[np.lexsort((rest, frequency[rest >> np.uint64(48)]))]
-                add(i, False, int(np.log(n[i]) / step), ranked, threshold * n[i] - shared[i])
-                if is_open[i]:
-                    low = threshold * n[i]
-                    for b in range(int(np.log(max(low, 1)) / step - 1e-6), int(np.log(n[i] / threshold) / step + 1e-6) + 1):
-                        add(i, True, b, ranked, part * (n[i] + max(low, _BIN**b * (1 - 1e-9))) - shared[i])
-            flat = lambda x, kind: np.concatenate([np.zeros(0, kind), *x]).astype(kind)
-            at = pa.array(flat(row, np.int64))
+                ranked = rest[np.lexsort((rest, frequency[_part(rest)]))]
+                if asked is not None:
+                    add(i, int(np.log(n[i]) / step), ranked, threshold * n[i] - shared[i])
+                    continue
+                low = threshold * n[i]
+                for b in range(int(np.log(max(low, 1)) / step - 1e-6), int(np.log(n[i] / threshold) / step + 1e-6) + 1):
+                    add(i, b, ranked, part * (n[i] + max(low, _BIN**b * (1 - 1e-9))) - shared[i])
+            at = pa.array(np.concatenate(row))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x).take(at) for x in ("pivot", "node", "class", "n", "shared")), pa.array(flat(query, bool)),
-                 pa.array(flat(bins, np.int32)), pa.array(flat(tokens, np.uint64).view(np.int64))],
-                names=["pivot", "node", "class", "n", "shared", "query", "bin", "token"])
+                [*(batch.column(x).take(at) for x in ("pivot", "node", "class", "n", "shared")),
+                 pa.array(np.concatenate(bins).astype(np.int32)), pa.array(np.concatenate(tokens).view(np.int64))],
+                names=["pivot", "node", "class", "n", "shared", "bin", "token"])
 
     return run
 
 
+_PREFIX = "pivot binary, node binary, class binary, n long, shared long, bin int, token long"
+
+
+def _counts(tokens: DataFrame) -> np.ndarray:
+    """How many tokens lie in each of 2^16 parts of the hashes."""
+    out = np.zeros(1 << 16, np.int64)
+    for r in tokens.select(F.shiftrightunsigned("token", 48).alias("k")).groupBy("k").count().collect():
+        out[r["k"]] = r["count"]
+    return out
+
+
 def _left_over(met: DataFrame, roots: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame | None:
     """(a, b): nodes of different classes with one pivot that may be similar; ``met``: pivot, node of the large buckets."""
     own, theirs = roots.select("node", F.col("root").alias("class")), roots.select(F.col("node").alias("pivot"), F.col("root").alias("_theirs"))
@@ -286,33 +287,30 @@ def _left_over(met: DataFrame, roots: DataFrame, a: DataFrame, b: DataFrame, thr
         return None
     rows = classed.join(classed.where("open").select("pivot").distinct(), "pivot", "left_semi")
     texts = (rows.join(a.withColumnRenamed("a", "node"), "node").join(b.withColumnRenamed("b", "pivot"), "pivot")
-             .select("pivot", "node", "class", "open", _word_hashes("ta").alias("wa"), _word_hashes("tb").alias("wb")))
+             .select("pivot", "node", "class", "open", "ta", "tb"))
     beside = materialize(texts.mapInArrow(
         _beside, "pivot binary, node binary, class binary, open boolean, n long, shared long, rest array<long>"), "beside")
-    # Any order of the shingles is right; rare ones first make the fewest pairs.  Frequencies are those of 2^16 parts of the hashes.
-    frequency = np.zeros(1 << 16, np.int64)
-    for r in beside.select(F.explode("rest").alias("h")).select(F.shiftrightunsigned("h", 48).alias("k")).groupBy("k").count().collect():
-        frequency[r["k"]] = r["count"]
+    # Any order of the shingles is right; rare ones first make the fewest pairs.
+    frequency = _counts(beside.select(F.explode("rest").alias("token")))
+    asking = materialize(beside.where("open").mapInArrow(_prefixes(threshold, frequency), _PREFIX), "asking")
+    held = materialize(beside.mapInArrow(_prefixes(threshold, frequency, _counts(asking) > 0), _PREFIX), "prefixes")
     keys = ["pivot", "bin", "token"]
-    held = materialize(beside.mapInArrow(
-        _prefixes(threshold, frequency),
-        "pivot binary, node binary, class binary, n long, shared long, query boolean, bin int, token long"), "prefixes")
     # Shingles that only one class has tell nothing.
-    mixed = held.groupBy(*keys).agg(F.min("class").alias("_l"), F.max("class").alias("_g")).where("_l <> _g").select(*keys)
-    l = held.where("query").join(mixed, keys, "left_semi").select(*keys, *(F.col(x).alias(f"_{x}") for x in ("node", "class", "n", "shared")))
+    mixed = (held.select(*keys, "class").union(asking.select(*keys, "class")).groupBy(*keys)
+             .agg(F.min("class").alias("_l"), F.max("class").alias("_g")).where("_l <> _g").select(*keys))
+    l = asking.join(mixed, keys, "left_semi").select(*keys, *(F.col(x).alias(f"_{x}") for x in ("node", "class", "n", "shared")))
     need = F.lit(threshold / (1 + threshold)) * (F.col("_n") + F.col("n"))
     able = (F.col("token") != 0) | (need <= F.least("_shared", "shared") + 1e-9)
     near = F.least("_n", "n") >= F.lit(threshold - 1e-12) * F.greatest("_n", "n")
-    return (l.join(held.where("NOT query"), keys).where((F.col("_class") != F.col("class")) & near & able)
+    return (l.join(held, keys).where((F.col("_class") != F.col("class")) & near & able)
             .select(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b")).distinct())
 
 
 def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS,
           small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, similarity) between different texts, and the roots (node, root) of those linked."""
+    """Verified links (a, b, similarity) that make the classes, and the roots (node, root) of the texts linked."""
     signed = materialize(signatures(docs, text, bands, rows), "signatures")
-    keyed = signed.select("node", "n", F.explode("bands").alias("bucket"))
-    open_rows = materialize(_bucketed(keyed, small), "buckets")
+    open_rows = _bucketed(signed.select("node", "n", F.explode("bands").alias("bucket")), small)
     # The texts of all nodes that meet another in some band, read once.
     met = materialize(open_rows.select("node", "n").distinct(), "nodes")
     own = docs.select(text_node(F.col(text)), F.col(text).alias("t"))
@@ -321,21 +319,15 @@ def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands:
         words = materialize(texts.select("node", "t"), "texts")
     a, b = (words.select(F.col("node").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
     shared = open_rows.where(F.col("size") > small).select("pivot", "node")
-    found = tried = None
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", _word_hashes("ta").alias("wa"), _word_hashes("tb").alias("wb"))
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
         return materialize(both.mapInArrow(_verifier(threshold), "a binary, b binary, similarity double"), "links")
 
-    for turn in range(_ROUNDS):
-        pairs = _candidates(open_rows, threshold, small)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        new = verified(pairs)
-        found = new if found is None else found.union(new)
-        roots = connected_components(found.select("a", "b"))
+    tried = materialize(_candidates(open_rows, threshold, small), "pairs")
+    found = verified(tried)
+    roots, turn = connected_components(found.select("a", "b")), 0
+    while True:
         # What is left: nodes of large buckets outside the class of their pivot.
         large = open_rows.where(F.col("size") > small)
         own = roots.select(F.col("node"), F.col("root").alias("_own"))
@@ -350,7 +342,15 @@ def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands:
             second = rest.select("node", F.col("bucket").alias("_second"))
             rest = (rest.join(second, "node").where(F.col("bucket") < F.col("_second"))
                     .select(F.xxhash64("bucket", "_second").alias("bucket"), "node", "n"))
-        open_rows = materialize(_bucketed(rest, small), "buckets")
+        open_rows, turn = _bucketed(rest, small), turn + 1
+        pairs = materialize(_candidates(open_rows, threshold, small).join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = verified(pairs)
+        tried, found = tried.union(pairs), found.union(new)
+        # A round that links few of the pairs it looks at is worth less than the exact join.
+        if 4 * new.count() < pairs.count() or new.isEmpty():
+            roots = connected_components(found.select("a", "b"))
+            break
+        roots = connected_components(found.select("a", "b"))
     pairs = _left_over(shared, roots, a, b, threshold)
     if pairs is not None:
         found = found.union(verified(materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")))
@@ -360,31 +360,28 @@ def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands:
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
-    """(key, class_id, class_size, n_links, first) per row; ``first``: the row that stands for its class."""
-    found, roots = links(docs, text=text, threshold=threshold, bands=bands, rows=rows)
-    return _classes(docs.select(F.col(key), text_node(F.col(text))), found, roots, key).drop("node", "root")
+    """(key, class_id, class_size, first) per row; ``first``: the row that stands for its class."""
+    _, roots = links(docs, text=text, threshold=threshold, bands=bands, rows=rows)
+    return _classes(docs.select(F.col(key), text_node(F.col(text))), roots, key).drop("node", "root")
 
 
-def _classes(keyed: DataFrame, found: DataFrame, roots: DataFrame, key: str) -> DataFrame:
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+def _classes(keyed: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     own = F.struct(F.col(key).isNull(), F.col(key), F.col("node"))
     named = materialize(keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     # Written, so that the rows of a class that holds much of the table can be dealt to many tasks when they meet it.
     classes = materialize(named.groupBy("root").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"), F.min(own).alias("_first"))
                           .where("class_size > 1"), "classes")
-    joined = named.join(degree, "node", "left").join(classes, "root", "left")
+    joined = named.join(classes, "root", "left")
     alone = F.col("class_size").isNull()
     return joined.withColumns({"class_id": F.when(alone, F.col(key)).otherwise(F.col("class_id")),
                                "class_size": F.coalesce("class_size", F.lit(1)).cast("long"),
-                               "n_links": F.coalesce("n_links", F.lit(0)).cast("long"),
                                "first": alone | own.eqNullSafe(F.col("_first"))}).drop("_first")
 
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """The documents that stand for their classes, one for each, with their own columns."""
-    found, roots = links(docs, text=text, threshold=threshold)
-    keyed = docs.select(F.col(key), text_node(F.col(text)))
-    first = _classes(keyed, found, roots, key).where("first")
+    _, roots = links(docs, text=text, threshold=threshold)
+    first = _classes(docs.select(F.col(key), text_node(F.col(text))), roots, key).where("first")
     kept = materialize(first.groupBy(key, "node").agg(F.count("*").alias("_copies")), "kept")
     rows = boxed(docs, _key=F.col(key), _node=text_node(F.col(text)))
     mine = rows.join(kept.withColumnsRenamed({key: "_k", "node": "_n"}), (F.col("_node") == F.col("_n")) & F.col("_key").eqNullSafe(F.col("_k")))
