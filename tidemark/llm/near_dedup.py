@@ -11,14 +11,12 @@ Equal texts are one node (their MD5).  Nodes that agree in a band of the
 signature are candidates: all pairs of a bucket with up to ``SMALL`` nodes, and in
 a larger bucket every node with the pivot, the node that meets the most others.
 Candidates are verified by the weighted Jaccard similarity of the whole texts.
-Nodes of a large bucket that do not end up in the class of its pivot are split by
-a second band and go through further rounds with new pivots; so groups of near
-copies of any size take a number of pairs that grows with their size, not its
-square.  The rounds only save pairs and go on while they link many.  Afterwards every node that is still outside
-the class of a pivot is joined, by an exact prefix and length filter, with all
-nodes of other classes that met the same pivot, so that a copy of a copy is found
-however far it is from the pivot: all nodes that share a bucket and are similar
-enough are in one class.
+So groups of near copies of any size take a number of pairs that grows with their
+size, not its square.  Afterwards every node that is still outside the class of its
+pivot is joined exactly with all nodes of other classes that met this pivot or one of
+its class: by the shingles that the pivot lacks, with prefix and length filters.  So a
+copy of a copy is found however far it is from the pivot, and all nodes that share a
+bucket and are similar enough are in one class.
 
 ``near_duplicates`` gives each row its class: the least id of the rows that are
 linked to it directly or through others.  Defined results: null texts count as
@@ -30,6 +28,8 @@ untouched.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -216,89 +216,81 @@ def _beside(batches):
                  pa.array([o for _, o, _ in found], pa.int64()), rest], names=["pivot", "node", "class", "open", "n", "shared", "rest"])
 
 
-def _part(token: np.ndarray) -> np.ndarray:
-    return token >> np.uint64(48)
-
-
-def _prefixes(threshold: float, frequency: np.ndarray, asked: np.ndarray | None = None):
-    """(row, bin, token) to join on: of open texts in all bins that may match; with ``asked``, of every text in the bin of its length.
+def _prefixes(threshold: float, asking: bool):
+    """(row, bin, token) to join on: of open texts in the bins of their pivot that may match (``asking``), of every text in the bin of its length.
 
     Two texts of n and m shingles are similar if they share need = threshold / (1 + threshold) * (n + m).  At most the
     lesser number they share with the pivot are shingles of the pivot; the others, if any are needed, must be among
-    those the pivot lacks, so one of them is in the prefixes of both.  If none are needed, the token is 0.
-    ``asked`` tells which parts of the hashes open texts ask for; others cannot meet one.
+    those the pivot lacks, so one of them is in the prefixes of both.  If none are needed, the token is 0.  Shingles that
+    no text of another class has come first in the order and meet nothing, so ``common`` has the others only.
     """
-    part, step = threshold / (1 + threshold), np.log(_BIN)
+    part = threshold / (1 + threshold)
 
     def run(batches):
         for batch in batches:
-            n, shared = (np.asarray(batch.column(x).to_numpy(zero_copy_only=False)) for x in ("n", "shared"))
-            offsets = np.asarray(batch.column("rest").offsets, dtype=np.int64)
-            values = np.asarray(batch.column("rest").values).view(np.uint64)
-            row, bins, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-
-            def add(i, b, ranked, need):
-                least = max(1, int(np.ceil(need - 1e-9)))
-                own = ranked[: max(len(ranked) - least + 1, 0)]
-                if asked is not None:
-                    own = own[asked[_part(own)]]
-                if need <= 1e-9:
-                    own = np.r_[own, np.uint64(0)]
-                row.append(np.full(len(own), i))
-                bins.append(np.full(len(own), b))
-                tokens.append(own)
-
+            n, shared = (batch.column(x).to_pylist() for x in ("n", "shared"))
+            common, present = batch.column("common").to_pylist(), batch.column("bins").to_pylist()
+            row, bins, tokens = [], [], []
             for i in range(batch.num_rows):
-                rest = values[offsets[i] : offsets[i + 1]]
-                ranked = rest[np.lexsort((rest, frequency[_part(rest)]))]
-                if asked is not None:
-                    add(i, int(np.log(n[i]) / step), ranked, threshold * n[i] - shared[i])
-                    continue
-                low = threshold * n[i]
-                for b in range(int(np.log(max(low, 1)) / step - 1e-6), int(np.log(n[i] / threshold) / step + 1e-6) + 1):
-                    add(i, b, ranked, part * (n[i] + max(low, _BIN**b * (1 - 1e-9))) - shared[i])
-            at = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x).take(at) for x in ("pivot", "node", "class", "n", "shared")),
-                 pa.array(np.concatenate(bins).astype(np.int32)), pa.array(np.concatenate(tokens).view(np.int64))],
-                names=["pivot", "node", "class", "n", "shared", "bin", "token"])
+                low, high = threshold * n[i], n[i] / threshold
+                for b in present[i] if asking else [length_bin(n[i])]:
+                    if asking and (_BIN ** (b + 1) < low * (1 - 1e-9) or _BIN**b > high * (1 + 1e-9)):
+                        continue
+                    need = part * (n[i] + max(low, _BIN**b * (1 - 1e-9))) - shared[i] if asking else low - shared[i]
+                    own = common[i][: max(len(common[i]) - max(1, math.ceil(need - 1e-9)) + 1, 0)]
+                    own = [*own, 0] if need <= 1e-9 else own
+                    row += [i] * len(own)
+                    bins += [b] * len(own)
+                    tokens += own
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).take(at) for x in ("pivot", "node", "class", "n", "shared")),
+                                              pa.array(bins, pa.int32()), pa.array(tokens, pa.int64())],
+                                             names=["pivot", "node", "class", "n", "shared", "bin", "token"])
 
     return run
 
 
-_PREFIX = "pivot binary, node binary, class binary, n long, shared long, bin int, token long"
+def length_bin(n: int) -> int:
+    return int(math.log(n) / math.log(_BIN))
 
 
-def _counts(tokens: DataFrame) -> np.ndarray:
-    """How many tokens lie in each of 2^16 parts of the hashes."""
-    out = np.zeros(1 << 16, np.int64)
-    for r in tokens.select(F.shiftrightunsigned("token", 48).alias("k")).groupBy("k").count().collect():
-        out[r["k"]] = r["count"]
-    return out
+_PREFIX = "pivot binary, node binary, class binary, n long, shared long, bin int, token long"
 
 
 def _left_over(met: DataFrame, roots: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame | None:
     """(a, b): nodes of different classes with one pivot that may be similar; ``met``: pivot, node of the large buckets."""
     own, theirs = roots.select("node", F.col("root").alias("class")), roots.select(F.col("node").alias("pivot"), F.col("root").alias("_theirs"))
-    classed = (met.where(F.col("node") != F.col("pivot")).distinct().join(own, "node", "left").join(theirs, "pivot", "left")
-               .select("pivot", "node", F.coalesce("class", "node").alias("class"), F.coalesce("_theirs", "pivot").alias("_theirs")))
+    # One pivot stands for all of its class: any text serves to compare others with.
+    used = materialize(met.groupBy("pivot").count().join(theirs, "pivot", "left").withColumn("_theirs", F.coalesce("_theirs", "pivot")), "used")
+    chief = used.groupBy("_theirs").agg(F.max(F.struct("count", "pivot"))["pivot"].alias("_chief"))
+    named = materialize(used.join(chief, "_theirs").select("pivot", "_theirs", "_chief"), "chiefs")
+    classed = (met.join(named, "pivot").select(F.col("_chief").alias("pivot"), "node", "_theirs").distinct().where(F.col("node") != F.col("pivot"))
+               .join(own, "node", "left").withColumn("class", F.coalesce("class", "node")))
     classed = materialize(classed.select("pivot", "node", "class", (F.col("class") != F.col("_theirs")).alias("open")), "outside")
     if classed.where("open").isEmpty():
         return None
     rows = classed.join(classed.where("open").select("pivot").distinct(), "pivot", "left_semi")
     texts = (rows.join(a.withColumnRenamed("a", "node"), "node").join(b.withColumnRenamed("b", "pivot"), "pivot")
              .select("pivot", "node", "class", "open", "ta", "tb"))
+    # Dealt anew, for the texts of one pivot may lie in few tasks.
     beside = materialize(texts.mapInArrow(
-        _beside, "pivot binary, node binary, class binary, open boolean, n long, shared long, rest array<long>"), "beside")
-    # Any order of the shingles is right; rare ones first make the fewest pairs.
-    frequency = _counts(beside.select(F.explode("rest").alias("token")))
-    asking = materialize(beside.where("open").mapInArrow(_prefixes(threshold, frequency), _PREFIX), "asking")
-    held = materialize(beside.mapInArrow(_prefixes(threshold, frequency, _counts(asking) > 0), _PREFIX), "prefixes")
+        _beside, "pivot binary, node binary, class binary, open boolean, n long, shared long, rest array<long>").repartition("pivot", "node"), "beside")
+    # The shingles that an open text and one of another class have, rare ones first.
+    single = beside.select("pivot", "node", "class", "open", F.explode("rest").alias("token"))
+    mixed = (single.groupBy("pivot", "token").agg(F.min("class").alias("_l"), F.max("class").alias("_g"), F.max("open").alias("_open"), F.count("*").alias("_k"))
+             .where("_open AND _l <> _g").select("pivot", "token", "_k"))
+    common = (single.join(mixed, ["pivot", "token"]).groupBy("pivot", "node")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "token"))), lambda x: x["token"]).alias("common")))
+    bins = (beside.groupBy("pivot", F.floor(F.log("n") / math.log(_BIN)).cast("int").alias("bin")).count()
+            .groupBy("pivot").agg(F.collect_list("bin").alias("_bins")))
+    # Rounding may put a length into the bin beside its own.
+    around = F.array_distinct(F.flatten(F.transform("_bins", lambda x: F.array(x - 1, x, x + 1))))
+    ready = materialize(beside.join(common, ["pivot", "node"], "left").join(bins, "pivot").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+                        .select("pivot", "node", "class", "open", "n", "shared", "common", around.alias("bins")), "ready")
+    asking = materialize(ready.where("open").mapInArrow(_prefixes(threshold, True), _PREFIX), "asking")
+    held = materialize(ready.mapInArrow(_prefixes(threshold, False), _PREFIX), "prefixes")
     keys = ["pivot", "bin", "token"]
-    # Shingles that only one class has tell nothing.
-    mixed = (held.select(*keys, "class").union(asking.select(*keys, "class")).groupBy(*keys)
-             .agg(F.min("class").alias("_l"), F.max("class").alias("_g")).where("_l <> _g").select(*keys))
-    l = asking.join(mixed, keys, "left_semi").select(*keys, *(F.col(x).alias(f"_{x}") for x in ("node", "class", "n", "shared")))
+    l = asking.select(*keys, *(F.col(x).alias(f"_{x}") for x in ("node", "class", "n", "shared")))
     need = F.lit(threshold / (1 + threshold)) * (F.col("_n") + F.col("n"))
     able = (F.col("token") != 0) | (need <= F.least("_shared", "shared") + 1e-9)
     near = F.least("_n", "n") >= F.lit(threshold - 1e-12) * F.greatest("_n", "n")
@@ -326,31 +318,7 @@ def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands:
 
     tried = materialize(_candidates(open_rows, threshold, small), "pairs")
     found = verified(tried)
-    roots, turn = connected_components(found.select("a", "b")), 0
-    while True:
-        # What is left: nodes of large buckets outside the class of their pivot.
-        large = open_rows.where(F.col("size") > small)
-        own = roots.select(F.col("node"), F.col("root").alias("_own"))
-        theirs = roots.select(F.col("node").alias("pivot"), F.col("root").alias("_theirs"))
-        rest = materialize(large.join(own, "node", "left").join(theirs, "pivot", "left")
-                           .where((F.col("node") != F.col("pivot")) & ~F.coalesce(F.col("_own") == F.col("_theirs"), F.lit(False)))
-                           .select("bucket", "node", "n"), "rest")
-        if rest.isEmpty():
-            break
-        if turn == 0:
-            # Similar texts that are left meet in several of these buckets: two at once tell them from the others.
-            second = rest.select("node", F.col("bucket").alias("_second"))
-            rest = (rest.join(second, "node").where(F.col("bucket") < F.col("_second"))
-                    .select(F.xxhash64("bucket", "_second").alias("bucket"), "node", "n"))
-        open_rows, turn = _bucketed(rest, small), turn + 1
-        pairs = materialize(_candidates(open_rows, threshold, small).join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = verified(pairs)
-        tried, found = tried.union(pairs), found.union(new)
-        # A round that links few of the pairs it looks at is worth less than the exact join.
-        if 4 * new.count() < pairs.count() or new.isEmpty():
-            roots = connected_components(found.select("a", "b"))
-            break
-        roots = connected_components(found.select("a", "b"))
+    roots = connected_components(found.select("a", "b"))
     pairs = _left_over(shared, roots, a, b, threshold)
     if pairs is not None:
         found = found.union(verified(materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")))
