@@ -35,8 +35,6 @@ RULES: dict[str, tuple[float, ...]] = {
     "mean_word_chars": (20.0, 15.0, 12.0, 10.0, 9.0, 8.0, 7.0),
 }
 
-_POSITION = 0xFFFFFF
-
 
 def _has_twin(ordered: Column, key):
     """A test for F.filter: the element's key equals that of a neighbour in ``ordered``."""
@@ -74,14 +72,14 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         windows.alias("_h"),
     ).drop("_lines")
     h = F.col("_h")
-    placed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("long"))))
-    none = F.array().cast("array<bigint>")
+    placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    none = F.array().cast("array<struct<h: bigint, i: int>>")
     second = second.select("*", F.when(F.size(h) > F.size(F.array_distinct(h)), placed).otherwise(none).alias("_s")).drop("_h")
     s = F.col("_s")
-    third = second.select("*", F.filter(s, _has_twin(s, lambda x: F.shiftright(x, 24))).alias("_c")).drop("_s")
+    third = second.select("*", F.filter(s, _has_twin(s, lambda x: x["h"])).alias("_c")).drop("_s")
 
     def window(x: Column) -> Column:
-        i = x.bitwiseAND(F.lit(_POSITION)).cast("int")
+        i = x["i"]
         return F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))
 
     fourth = third.select("*", F.array_sort(F.transform("_c", window)).alias("_d")).drop("_c", "_w")
