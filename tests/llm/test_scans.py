@@ -46,8 +46,9 @@ def test_wrapped_notices(docs, mark, width):
     got = {r.doc_id: r for r in license_scan.scan(docs(list(enumerate(texts)))).collect()}
     assert all(label in got[i].labels.split(",") and got[i].score >= 0.8 and got[i].n_blocks >= 1 for i, (label, _) in enumerate(notices))
     # Halves of a notice that a blank line parts are two blocks; two notices of one paragraph on lines of their own are two.
-    half = notices[2][1].split(",")
-    rows = [(1, half[0] + "\n\n" + ",".join(half[1:])), (2, "\n".join([notices[2][1], "x", notices[2][1]]))]
+    bsd = next(x for label, x in notices if label == "bsd")
+    half = bsd.split(",")
+    rows = [(1, half[0] + "\n\n" + ",".join(half[1:])), (2, "\n".join([bsd, "x", bsd]))]
     got = {r.doc_id: (r.labels, r.n_blocks) for r in license_scan.scan(docs(rows)).collect()}
     assert got == {1: ("", 0), 2: ("bsd", 2)}
 
@@ -74,7 +75,7 @@ def test_license_join_is_exact(spark, threshold):
 def test_decontamination_is_exact(spark, docs):
     r = random.Random(2)
     words = [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(r.choices(words, k=r.randint(3, 40)))) for i in range(30)] + [(30, None), (31, ""), (None, "a b c d e f"), (32, "a b c d e f")]
+    items = [(i, " ".join(r.choices(words, k=r.randint(3, 40)))) for i in range(30)] + [(40, "W1, w2"), (41, "w3"), (30, None), (31, ""), (None, "a b c d e f"), (32, "a b c d e f")]
     texts = []
     for i in range(60):
         base = W(r.choice(items[:30])[1])
@@ -82,9 +83,15 @@ def test_decontamination_is_exact(spark, docs):
         texts.append((i, " ".join(r.choices(words, k=r.randint(0, 300)) + cut + r.choices(words, k=50))))
     texts += [(100, None), (101, ""), (None, "X. a B c d e f"), (102, texts[0][1]), (0, texts[0][1]), (103, "v " * 30000 + items[5][1])]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("_h", F.lit(1))
-    sh = lambda t: {tuple(w[k : k + 5]) for w in [W(t or "")] for k in range(len(w) - 4)}
-    want = sorted({(d, i, len(sh(t)), len(sh(t) & sh(x))) for d, x in texts for i, t in items
-                   if i is not None and sh(t) and len(sh(t) & sh(x)) >= 0.8 * len(sh(t))}, key=repr)
+    sh = lambda t, n=5: {tuple(w[k : k + n]) for w in [W(t or "")] for k in range(len(w) - n + 1)}
+    want = set()
+    for i, t in items:
+        n = min(len(W(t or "")), 5)
+        for d, x in texts if i is not None and n else ():
+            if len(sh(t, n) & sh(x, n)) >= 0.8 * len(sh(t, n)):
+                want.add((d, i, len(sh(t, n)), len(sh(t, n) & sh(x, n))))
+    want = sorted(want, key=repr)
+    assert any(len(W(t or "")) < 5 for d, i, *_ in want for j, t in items if i == j)
     table = docs(texts)
     assert rows(decontaminate.search(table, bench), "doc_id", "item_id", "n_shingles", "n_shared") == want and len(want) > 20
     left = decontaminate.decontaminate(table, bench)
@@ -95,6 +102,16 @@ def test_decontamination_is_exact(spark, docs):
     assert decontaminate.decontaminate(table, bench.limit(0)).count() == len(texts)
 
 
+def test_items_with_a_common_phrase(spark, docs):
+    """A phrase of all items makes no candidates of the documents that hold it alone."""
+    phrase = "which of the following statements about it is true"
+    bench = spark.createDataFrame([(i, f"{phrase} " + " ".join(f"q{i}x{k}" for k in range(12))) for i in range(50)], "item_id long, text string")
+    signed = decontaminate.signatures(bench)
+    assert signed.groupBy("_h").count().where("count > 1").count() == 0
+    got = decontaminate.search(docs([(1, phrase), (2, "what is pi, then"), (3, bench.first().text)]), bench.union(spark.createDataFrame([(99, "What is pi?")], bench.schema)))
+    assert rows(got, "doc_id", "item_id") == [(2, 99), (3, 0)]
+
+
 def test_only_rows_with_an_item_go(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     table = docs([(None, "x a b c d e f"), (None, "clean text"), (None, None), (7, "a b c d e f y"), (7, "other clean text"), (8, "clean text")])

@@ -8,18 +8,22 @@ def query(spark, sf_dir):
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=THRESHOLD)
 
 
-def _shingles(name: str, source: str, key: str) -> str:
-    return rf"""
-{name}_w AS (SELECT r, {key}, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM (SELECT row_number() OVER () AS r, {key}, text FROM (SELECT DISTINCT {key}, text FROM {source}))),
-{name} AS (SELECT DISTINCT r, {key}, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g
-  FROM (SELECT r, {key}, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM {name}_w))"""
+_WORDS = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def _grams(widths: str) -> str:
+    return f"SELECT DISTINCT r, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT r, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM {widths})"
+
+
+# An item of fewer than five words is one shingle of its own width.
 SQL = rf"""
-WITH {_shingles('d', 'documents', 'doc_id')},{_shingles('b', 'benchmark', 'item_id')},
-n AS (SELECT r, item_id, count(*) AS n FROM b GROUP BY r, item_id),
-s AS (SELECT d.r AS dr, d.doc_id, b.r, b.item_id, count(*) AS k FROM d JOIN b USING (g) GROUP BY ALL)
-SELECT doc_id, s.item_id, n::BIGINT AS n_shingles, k::BIGINT AS n_shared, k::DOUBLE / n AS containment
-FROM s JOIN n USING (r) WHERE k::DOUBLE / n >= {THRESHOLD}
+WITH bw AS (SELECT row_number() OVER () AS r, item_id, w, least(len(w), 5) AS k
+  FROM (SELECT item_id, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark) WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+b AS ({_grams('bw')}),
+d AS ({_grams('(SELECT dw.r, k, w FROM dw, (SELECT DISTINCT k FROM bw))')}),
+n AS (SELECT r, count(*) AS n FROM b GROUP BY r),
+s AS (SELECT d.r AS dr, b.r, count(*) AS c FROM d JOIN b USING (k, g) GROUP BY ALL)
+SELECT doc_id, item_id, n::BIGINT AS n_shingles, c::BIGINT AS n_shared, c::DOUBLE / n AS containment
+FROM s JOIN n USING (r) JOIN bw USING (r) JOIN dw ON dw.r = s.dr WHERE c::DOUBLE / n >= {THRESHOLD}
 """
