@@ -11,9 +11,13 @@ mostly links beside it in its container: short sections, lists and tables.
 
 Menus, forms, adverts, notices, sidebars, footers and reader comments that say
 what they are (by tag, role, class or id) are taken out first, so that a dense
-advert cannot win.  A form, or a node whose class or id says so, stays if it holds
-most of the page's characters and all of its ``article`` and ``main`` elements: it
-is around the page then.
+advert cannot win.  Names are evidence only, weighed against the text: a node whose
+class or id has such a word as one part of a longer name ("with-sidebar",
+"related-work") stays if it holds a fifth of the page's characters and few of them
+are links; a form, or a node that is named just so, stays if it holds most of the
+page's characters and all of its ``article`` and ``main`` elements: it is around the
+page then.  On a page without links the plain characters per tag count, for the
+adjustment divides by the links.
 
 Defined results: null and empty pages give an empty text, as do pages without a
 dense part; unclosed tags end where HTML ends them (a new paragraph, item, row or
@@ -64,10 +68,14 @@ _NOT_WORDS = frozenset(
     "sidebar sidebars aside rail nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead "
     "cookie cookies consent gdpr notice notices banner banners popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations widget widgets toolbar disclaimer outbrain taboola paywall".split())
-_COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies discussion".split())
+_COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
+#: These name parts of articles as well.
+_EITHER = frozenset("discussion related recommendations promotion notice notices".split())
 _KEEP = frozenset("html body main".split())
-#: Why a node is taken out: for good, as a form or by a word, by a word for comments.
-_HARD, _SOFT, _COMMENT = 1, 2, 3
+#: Why a node is taken out: for good, as a form or by its name, by a name for comments, by a part of its name.
+_HARD, _SOFT, _COMMENT, _WEAK = 1, 2, 3, 4
+#: A node with a part of a name stays from this share of the page's characters on, with this share of links at most.
+_SHARE, _LINKS = 0.2, 0.3
 
 
 class _Node:
@@ -94,7 +102,10 @@ def _boilerplate(tag: str, attributes: str, inside: set[str]) -> int:
     words = {w.lower() for w in _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
     if words & _COMMENT_WORDS:
         return _COMMENT
-    return _SOFT if tag != "article" and words & _NOT_WORDS else soft
+    if tag == "article" or soft or not words & (_NOT_WORDS | _EITHER):
+        return soft
+    names = set(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
+    return _SOFT if names & (_NOT_WORDS - _EITHER) else _WEAK
 
 
 def parse(page: str) -> _Node:
@@ -156,15 +167,18 @@ def _spare(root: _Node) -> None:
         stack += [x for x in node.items if isinstance(x, _Node) and x.pruned != _HARD]
     if not any(x.pruned for x in order):
         return
-    chars, core, heads = {}, {}, {}
+    chars, core, heads, links = {}, {}, {}, {}
     for node in reversed(order):
         own = [x for x in node.items if isinstance(x, _Node) and x.pruned != _HARD]
         n = chars[node] = sum(len(_SPACE.sub("", x)) for x in node.items if isinstance(x, str)) + sum(chars[x] for x in own)
+        links[node] = n if node.tag == "a" else sum(links[x] for x in own)
         # Reader comments are often articles too: they are none of the page's.
         whole = bool(n) and node.tag in ("article", "main") and not node.pruned
         heads[node] = whole or node.tag == "h1" or any(heads[x] for x in own)
         core[node] = whole + sum(core[x] for x in own if x.pruned != _COMMENT or heads[x])
     for node in order:
+        if node.pruned == _WEAK and chars[node] >= _SHARE * chars[root] and links[node] <= _LINKS * chars[node]:
+            node.pruned = 0
         if node.pruned and 2 * chars[node] > chars[root] and core[node] == core[root] and (node.pruned != _COMMENT or heads[node]):
             node.pruned = 0
 
