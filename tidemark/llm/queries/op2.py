@@ -1,8 +1,8 @@
 from ..common import table
-from ..quote_links import link_quotes
+from ..quote_links import link_quotes, reply_ordered
 
 SQL = None
 
 
 def query(spark, sf_dir):
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    return reply_ordered(link_quotes(table(spark, sf_dir, "conversations")))
