@@ -26,6 +26,7 @@ THREAD = [
     (1, 4, "> Thanks!\nok"), (1, 4, "> Thanks!\nok"),
     (2, 0, "> A new paragraph here.\nquoted from elsewhere"), (2, 1, None), (2, 2, ""), (2, 3, "> nobody said this\nhm"),
     (None, 0, "> ok\nx"), (3, None, "> ok"), (4, 0, "> later\nfirst"), (4, 1, "later"), (5, 0, "w " * 50000 + "\n> ok"),
+    (6, 1, "Try this:\n>>> import os\n>>> os.getcwd()"), (6, 2, "On Friday, Y wrote:\n> not to be found\nfine"),
 ]
 
 
@@ -41,9 +42,12 @@ def test_quotes(spark):
     assert [found[1, i].thread_turn for i in range(5)] == [0, 0, 0, 3, 0] and found[1, 4].depth == 3
     assert found[2, 0].links[0].conv_id == 1 and found[2, 0].parent_turn is None
     assert found[2, 1].text is None and found[2, 2].text == "" and found[2, 3].n_linked == 0
-    assert found[None, 0].links[0].conv_id == 1 and found[3, None].text == ""
+    assert found[2, 3].text == "> nobody said this\nhm"  # what is no quote of a message stays
+    assert found[None, 0].n_linked == 0 and found[3, None].text == "> ok"  # a word or two of another conversation is no link
     assert found[4, 0].n_linked == 0  # a quote does not come from a later message
-    assert found[5, 0].n_linked == 1 and found[5, 0].text == "w " * 50000
+    assert found[5, 0].n_linked == 0 and found[5, 0].text == "w " * 50000 + "\n> ok"
+    assert found[6, 1].text == "Try this:\n>>> import os\n>>> os.getcwd()" and found[6, 1].n_linked == 0
+    assert found[6, 2].text == "On Friday, Y wrote:\n> not to be found\nfine"
     order = [(r.conv_id, r.turn) for r in quote_links.reply_ordered(got).collect() if r.conv_id == 1]
     assert order == [(1, 0), (1, 1), (1, 2), (1, 4), (1, 4), (1, 3)]
     assert quote_links.link_quotes(table.limit(0)).count() == 0
@@ -59,8 +63,9 @@ def test_quotes_of_a_long_chain(spark):
 
 def test_quotes_of_text_repeated_later(spark):
     """The least original is a later turn of the quoting conversation; that of another one counts."""
-    rows = [(5, 0, "> Same words.\nhm"), (5, 4, "same words."), (9, 2, "Same words."), (9, 1, "other"), (6, 0, "> hm\nx"), (9, 7, "Same  words."),
-            (None, 0, "> first here\ny"), (None, 3, "first here"), (2, 5, "first here")]
+    same, first = "Same words as in the other one.", "first here of all the places"
+    rows = [(5, 0, f"> {same}\nhm"), (5, 4, same.lower()), (9, 2, same), (9, 1, "other"), (6, 0, "> hm\nx"), (9, 7, same.replace(" ", "  ")),
+            (None, 0, f"> {first}\ny"), (None, 3, first), (2, 5, first)]
     got = {(r.conv_id, r.turn): r for r in quote_links.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
     assert [(x.conv_id, x.turn) for x in got[5, 0].links] == [(9, 2)] and got[5, 0].parent_turn is None
     assert [(x.conv_id, x.turn) for x in got[None, 0].links] == [(2, 5)] and len(got) == len(rows)
@@ -86,29 +91,36 @@ def test_posteriors_match_brute_force(spark, docs):
     args = {"host": F.col("source"), "path": F.col("lang")}
     model, narrow = quality_classifier.train(table, labels, **args)
     p = quality_classifier.probability(model.weights, {n: F.col(n) for n in quality_classifier.NAMES})
-    rows = narrow.select("doc_id", "_host", "_path", p.alias("p")).collect()
+    rows = narrow.select("_key", "_host", "_path", p.alias("p")).collect()
+    known = {i: max(y for j, y in [(i, int(i % 7 > 0)) for i in range(100)] + [(1, 0)] if j == i) for i in range(100)}
+    evidence = lambda x: known.get(x["_key"], x.p / 1e9)
     paths, hosts = defaultdict(list), defaultdict(list)
     for x in rows:
-        paths[x["_host"], x["_path"]].append(x.p / 1e9)
-        hosts[x["_host"]].append(x.p / 1e9)
+        paths[x["_host"], x["_path"]].append(evidence(x))
+        hosts[x["_host"]].append(evidence(x))
     mean = sum(map(sum, hosts.values())) / len(rows)
     assert model.mean == pytest.approx(mean, abs=1e-9)
-    posterior = {x["_host"]: x.host_posterior for x in model.sites.collect()}
-    big = [h for h in hosts.values() if len(h) > 1]
-    spread = np.mean([(np.mean(h) - mean) ** 2 for h in big]) - np.mean([mean * (1 - mean) / len(h) for h in big])
-    strength = min(max(mean * (1 - mean) / max(spread, 1e-6) - 1, 2.0), 1e4)
-    for h, own in hosts.items():
-        assert posterior[h] == pytest.approx((sum(own) + strength * mean) / (len(own) + strength), abs=1e-6)
+
+    def strength(sites, around):
+        big = [(s, around(k)) for k, s in sites.items() if len(s) > 1]
+        spread = np.mean([(np.mean(s) - m) ** 2 for s, m in big]) - np.mean([m * (1 - m) / len(s) for s, m in big])
+        return min(max(mean * (1 - mean) / max(spread, 1e-6) - 1, 2.0), 1e4)
+
+    of_hosts = strength(hosts, lambda h: mean)
+    posterior = {h: (sum(s) + of_hosts * mean) / (len(s) + of_hosts) for h, s in hosts.items()}
+    of_paths = strength(paths, lambda k: posterior[k[0]])
+    assert model.host_strength == pytest.approx(of_hosts, rel=1e-4) and model.path_strength == pytest.approx(of_paths, rel=1e-4)
     logit = lambda x: np.log(x / (1 - x))
     scored = quality_classifier.classify(table, labels, **args).collect()
     assert len(scored) == len(texts)
-    site = {(x.doc_id, x.p): (x["_host"], x["_path"]) for x in rows}
+    site = {(x["_key"], x.p): x for x in rows}
     for x in scored:
-        h, q = site[x.doc_id, round(x.classifier * 1e9)]
-        others = paths[h, q]
-        path = (sum(others) - x.classifier + model.path_strength * posterior[h]) / (len(others) - 1 + model.path_strength)
-        assert x.path_posterior == pytest.approx(path, abs=1e-6)
-        assert logit(x.quality) == pytest.approx(logit(x.classifier) + logit(path) - logit(model.mean), abs=1e-3)
+        own = site[x.doc_id, round(x.classifier * 1e9)]
+        h, q, e = own["_host"], own["_path"], evidence(own)
+        host = (sum(hosts[h]) - e + of_hosts * mean) / (len(hosts[h]) - 1 + of_hosts)
+        path = (sum(paths[h, q]) - e + of_paths * host) / (len(paths[h, q]) - 1 + of_paths)
+        assert x.host_posterior == pytest.approx(host, abs=1e-5) and x.path_posterior == pytest.approx(path, abs=1e-5)
+        assert logit(x.quality) == pytest.approx(logit(x.classifier) + logit(path) - logit(model.mean), abs=1e-2)
     kept = quality_classifier.keep(table, labels, **args)
     assert kept.columns == table.columns and kept.count() == sum(x.kept for x in scored)
     assert {x.quality for x in kept.collect()} == {"q"}  # a column of the same name stays
@@ -237,6 +249,23 @@ def test_wrappers_around_the_page_stay(start, end):
     assert got.count("word") == 200 and "disagree" not in got
 
 
+@pytest.mark.parametrize("start,end", [("<form id=aspnetForm><div>", "</div></form>"), ('<div class="layout with-sidebar">', "</div>"),
+                                       ('<div class="content share-enabled">', "</div>"), ('<div class="article-promo">', "</div>")])
+def test_words_alone_do_not_take_out_an_article(start, end):
+    text = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(5))
+    side = '<div class="cookie-notice"><p>We use cookies on this page.</p></div><div class="sidebar"><ul><li><a href=x>More of this</a></ul></div>'
+    got = html_text.extract(f"<body><nav><a href=x>home</a></nav>{start}{text}{side}{end}<footer>foot</footer></body>")
+    assert got.count("word") == 200 and not re.search("cookies|More|home|foot", got)
+
+
+@pytest.mark.parametrize("name", ["related-work", "discussion"])
+def test_sections_named_like_boilerplate_stay(name):
+    part = lambda k: "".join(f"<p>{'word ' * 40}{k}{i}</p>" for i in range(5))
+    comments = "<div id=comments><div class=comment><p>" + "I disagree with it. " * 60 + "</p></div></div>"
+    got = html_text.extract(f"<body><article><section id=intro>{part(1)}</section><section id={name}>{part(2)}</section></article>{comments}</body>")
+    assert got.count("word") == 400 and "disagree" not in got
+
+
 def test_pages_nulls_and_repeats(spark):
     df = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("old"))
     got = html_text.extract_pages(df)

@@ -3,14 +3,15 @@
 1. Every document gets a probability of being good from a logistic regression
    on a few text statistics.  It is fitted on at most ``SAMPLE`` labelled rows
    (a documented bound; the rows of least id hash).
-2. These probabilities are summed per path and per host by grouped aggregation
-   (in fixed point, so that sums do not depend on the order of rows).
+2. A site's evidence is the labels of its labelled documents and the probabilities of
+   the others, summed per path and per host by grouped aggregation (in whole decimal
+   numbers, so that sums neither overflow nor depend on the order of rows).
 3. The global mean and the spread of hosts around it, and of paths around their
    hosts, are estimated from the sums by moments.  They give Beta priors: a
    host's posterior mean shrinks toward the global mean, a path's toward its
    host's, the more the fewer documents it has.
 4. A document's odds are multiplied by the odds of its path against the global
-   odds; its own probability is left out of the path's sum.
+   odds; its own evidence is left out of the sums of its path and of its host.
 
 Defined results: a null or empty text has all statistics 0; a null host or path
 is a site of its own; without labels of both classes the classifier says 0.5 for
@@ -97,23 +98,32 @@ def _strength(mean: float, spread: float, noise: float) -> float:
 
 
 class Model:
-    """A fitted classifier with the posteriors of all sites (a written table)."""
+    """A fitted classifier with the sums of all sites (a written table) and the known labels."""
 
-    def __init__(self, weights, sites: DataFrame, mean: float, path_strength: float):
-        self.weights, self.sites, self.mean, self.path_strength = weights, sites, mean, path_strength
+    def __init__(self, weights, sites: DataFrame, known: DataFrame, mean: float, host_strength: float, path_strength: float):
+        self.weights, self.sites, self.known, self.mean = weights, sites, known, mean
+        self.host_strength, self.path_strength = host_strength, path_strength
 
     def score(self, docs: DataFrame, p: Column) -> DataFrame:
-        """Join the sites to documents with ``_host`` and ``_path``; add the verdict."""
-        joined = docs.withColumn("_p", p).join(self.sites, ["_host", "_path"], "left")
-        own = F.col("_p") / _UNIT
-        others = F.greatest(F.col("_path_n") - 1, F.lit(0))
-        rest = F.greatest(F.col("_path_p") - F.col("_p"), F.lit(0)) / _UNIT
-        path = (rest + self.path_strength * F.col("host_posterior")) / (others + self.path_strength)
-        path = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.coalesce(path, F.lit(self.mean))))
-        joined = joined.withColumns({"classifier": own, "path_posterior": path})
-        edge = lambda c: F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col(c)))
-        odds = _logit(edge("classifier")) + _logit(F.col("path_posterior")) - _logit(F.lit(self.mean))
-        return joined.withColumn("quality", F.round(1 / (1 + F.exp(-odds)), 9)).drop("_p", "_path_n", "_path_p")
+        """Join the sites to documents with ``_key``, ``_host`` and ``_path``; add the verdict."""
+        known = self.known.withColumnRenamed("_k", "_known")
+        joined = docs.withColumn("_p", p).join(known, F.col("_key") == F.col("_known"), "left").join(self.sites, ["_host", "_path"], "left")
+        evidence = _evidence(F.col("_p"), F.col("_y"))
+        without = lambda s: (F.greatest(F.col(s) - evidence, F.lit(0)) / _UNIT).cast("double")
+        others = lambda n: F.greatest(F.col(n) - 1, F.lit(0))
+        host = (without("_host_p") + self.host_strength * self.mean) / (others("_host_n") + self.host_strength)
+        path = (without("_path_p") + self.path_strength * F.col("host_posterior")) / (others("_path_n") + self.path_strength)
+        edge = lambda c, e: F.greatest(F.lit(e), F.least(F.lit(1 - e), c))
+        joined = joined.withColumn("classifier", F.col("_p") / _UNIT).withColumn("host_posterior", F.coalesce(host, F.lit(self.mean)))
+        joined = joined.withColumn("path_posterior", edge(F.coalesce(path, F.lit(self.mean)), 1e-6))
+        odds = _logit(edge(F.col("classifier"), 1e-7)) + _logit(F.col("path_posterior")) - _logit(F.lit(self.mean))
+        return (joined.withColumn("quality", F.round(1 / (1 + F.exp(-odds)), 9))
+                .drop("_p", "_y", "_known", "_path_n", "_path_p", "_host_n", "_host_p"))
+
+
+def _evidence(p: Column, label: Column) -> Column:
+    """What a document tells of its site, in billionths: its label, or its probability where it has none."""
+    return F.when(label.isNotNull(), label.cast("long") * _UNIT).otherwise(p).cast("decimal(20,0)")
 
 
 def _site(host: Column, path: Column) -> dict[str, Column]:
@@ -124,35 +134,37 @@ def train(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, key
           sample: int = SAMPLE) -> tuple[Model, DataFrame]:
     """The model, and the documents' key, site and statistics as a written table."""
     columns = _site(host, path) | features(F.col(text))
-    narrow = materialize(docs.select(key, *(c.alias(n) for n, c in columns.items())), "features")
-    known = (labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull())
-             .groupBy(key).agg((F.max("quality") >= 1).cast("int").alias("_y")))
-    labelled = narrow.join(known, key).select(F.xxhash64(key).alias("h"), key, "_y", *NAMES)
+    narrow = materialize(docs.select(F.col(key).alias("_key"), *(c.alias(n) for n, c in columns.items())), "features")
+    known = materialize(labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull())
+                        .groupBy(F.col(key).alias("_k")).agg((F.max("quality") >= 1).cast("int").alias("_y")), "known")
+    labelled = narrow.join(known, F.col("_key") == F.col("_k")).select(F.xxhash64("_key").alias("h"), "_key", "_y", *NAMES)
     # Hashes are even over 64 bits: below this bound stand a few more rows than the sample, so that tasks send no more.
     share = min(1.0, 1.2 * (sample + 100) / max(labelled.count(), 1))
     bound = F.lit(min(int((share - 0.5) * 2**64), 2**63 - 1))
-    rows = labelled.where(F.col("h") <= bound).orderBy("h", key, *NAMES).limit(sample).toPandas()
+    rows = labelled.where(F.col("h") <= bound).orderBy("h", "_key", *NAMES).limit(sample).toPandas()
     weights = fit(rows[list(NAMES)].to_numpy(float), rows["_y"].to_numpy(float))
     p = probability(weights, {n: F.col(n) for n in NAMES})
-    paths = materialize(narrow.withColumn("_p", p).groupBy("_host", "_path").agg(F.count("*").alias("_path_n"), F.sum("_p").alias("_path_p")),
+    evidence = narrow.select("_key", "_host", "_path", p.alias("_p")).join(known, F.col("_key") == F.col("_k"), "left")
+    paths = materialize(evidence.groupBy("_host", "_path").agg(F.count("*").alias("_path_n"), F.sum(_evidence(F.col("_p"), F.col("_y"))).alias("_path_p")),
                         "paths")
-    hosts = paths.groupBy("_host").agg(F.sum("_path_n").alias("n"), F.sum("_path_p").alias("s"))
-    share = F.col("s") / F.col("n") / _UNIT
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    mean = min(max((total["s"] or 0) / (total["n"] or 1) / _UNIT, 0.01), 0.99) if total["n"] else 0.5
+    hosts = materialize(paths.groupBy("_host").agg(F.sum("_path_n").alias("_host_n"), F.sum("_path_p").alias("_host_p")), "hosts")
+    total = hosts.agg(F.sum("_host_n").alias("n"), F.sum("_host_p").alias("s")).first()
+    mean = min(max(float(total["s"]) / total["n"] / _UNIT, 0.01), 0.99) if total["n"] else 0.5
+    share = lambda s, n: (F.col(s) / _UNIT).cast("double") / F.col(n)
+
     # Moments over sites of at least two documents: the spread of their means, and the part of it that chance makes.
-    def moments(sites: DataFrame, around: Column) -> float:
+    def moments(sites: DataFrame, own: Column, n: str, around: Column) -> float:
         # Rounded to billionths before the sums, so that the order of rows cannot show.
-        whole = lambda c: F.sum(F.round(c * _UNIT).cast("long"))
-        m = sites.where("n >= 2").agg(F.count("*").alias("k"), whole((share - around) ** 2).alias("v"),
-                                      whole(around * (1 - around) / F.col("n")).alias("e")).first()
-        return _strength(mean, m["v"] / m["k"] / _UNIT, m["e"] / m["k"] / _UNIT) if m["k"] else 10.0
+        whole = lambda c: F.sum(F.round(c * _UNIT).cast("decimal(20,0)"))
+        m = sites.where(F.col(n) >= 2).agg(F.count("*").alias("k"), whole((own - around) ** 2).alias("v"),
+                                           whole(around * (1 - around) / F.col(n)).alias("e")).first()
+        return _strength(mean, float(m["v"]) / m["k"] / _UNIT, float(m["e"]) / m["k"] / _UNIT) if m["k"] else 10.0
 
-    host_strength = moments(hosts, F.lit(mean))
-    shrunk = hosts.withColumn("host_posterior", F.round((F.col("s") / _UNIT + host_strength * mean) / (F.col("n") + host_strength), 9))
-    joined = materialize(paths.join(shrunk.select("_host", "host_posterior"), "_host"), "sites")
-    path_strength = moments(joined.select(F.col("_path_n").alias("n"), F.col("_path_p").alias("s"), "host_posterior"), F.col("host_posterior"))
-    return Model(weights, joined, mean, path_strength), narrow
+    host_strength = moments(hosts, share("_host_p", "_host_n"), "_host_n", F.lit(mean))
+    joined = materialize(paths.join(hosts, "_host"), "sites")
+    posterior = ((F.col("_host_p") / _UNIT).cast("double") + host_strength * mean) / (F.col("_host_n") + host_strength)
+    path_strength = moments(joined, share("_path_p", "_path_n"), "_path_n", posterior)
+    return Model(weights, joined, known, mean, host_strength, path_strength), narrow
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, key: str = "doc_id", text: str = "text",
@@ -160,12 +172,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column,
     """(key, classifier, host_posterior, path_posterior, quality, kept) per document."""
     model, narrow = train(docs, labels, host=host, path=path, key=key, text=text, sample=sample)
     scored = model.score(narrow, probability(model.weights, {n: F.col(n) for n in NAMES}))
-    return scored.withColumn("kept", F.col("quality") >= threshold).drop("_host", "_path", *NAMES)
+    return scored.withColumn("kept", F.col("quality") >= threshold).withColumnRenamed("_key", key).drop("_host", "_path", *NAMES)
 
 
 def keep(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, key: str = "doc_id", text: str = "text",
          threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The documents the classifier keeps, with their own columns."""
     model, _ = train(docs, labels, host=host, path=path, key=key, text=text, sample=sample)
-    rows = boxed(docs, **_site(host, path), _p=probability(model.weights, features(F.col(text))))
+    rows = boxed(docs, **_site(host, path), _key=F.col(key), _p=probability(model.weights, features(F.col(text))))
     return unboxed(model.score(rows, F.col("_p")).where(F.col("quality") >= threshold), docs.columns)
