@@ -1,9 +1,10 @@
 """Operators 1, 4, 6 and 9 on small tables."""
 
+import hashlib
 import random
 import re
 import textwrap
-from collections import Counter
+from collections import Counter, defaultdict
 from math import comb
 
 import pytest
@@ -200,6 +201,59 @@ def test_pseudonyms(docs):
     assert pii.pseudonymize(docs([]), key="k").count() == 0
 
 
+def feistel(x, key, kind):
+    """The permutation of a string, letter by letter in plain Python."""
+    l, r = x[: len(x) // 2], x[len(x) // 2 :]
+    for i in range(8):
+        digest = bytes.fromhex(hashlib.sha512(f"{key}|{kind}|{i}|{r}".encode()).hexdigest())
+        new = ""
+        for k, c in enumerate(l):
+            for base, size in (("0", 10), ("a", 26), ("A", 26)):
+                if 0 <= ord(c) - ord(base) < size and c.isascii():
+                    c = chr((ord(c) - ord(base) + digest[k % 64]) % size + ord(base))
+                    break
+            new += c
+        l, r = r, new
+    return l + r
+
+
+def mod97(x):
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_spellings_of_a_value_stay_linked(docs):
+    spelled = {"card": ["4845168114407329", "4845 1681 1440 7329", "4845-1681-1440-7329"],
+               "phone": ["+1 (663) 555-6869", "663-555-6869", "(663) 555-6869", "663.555.6869"],
+               "abroad": ["+49 30 1234567", "+49-30-1234567", "+49301234567", "+49 (30) 1234567"],
+               "iban": ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"], "gb": ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"],
+               "ipv6": ["2001:db8:85a3::8a2e:370:7334", "2001:0DB8:85a3:0000:0000:8a2e:0370:7334"]}
+    flat = [(k, x) for k, own in spelled.items() for x in own]
+    plain = ["DE88370400440532013000", "12:34:56", "std::string::npos", "a::b", "+12 34", "GB82 WEST 1234 5698 7654 33"]
+    got = {r.doc_id: r for r in pii.pseudonymize(docs([(i, f"x {x} y") for i, (_, x) in enumerate(flat)] + [(100 + i, f"x {x} y") for i, x in enumerate(plain)]), key="k").collect()}
+    made = defaultdict(list)
+    for i, (k, x) in enumerate(flat):
+        y = got[i].text[2:-2]
+        assert got[i].n_private == 1 and y != x
+        if k != "ipv6":
+            assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", y)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", x))
+        made[k].append(re.sub(r"[^0-9A-Za-z]", "", y)[-10:] if k == "phone" else re.sub(r"[^0-9A-Za-z]", "", y))
+    assert all(len(set(x)) == 1 for x in made.values())
+    assert made["card"][0][:-1] == feistel("484516811440732", "k", "card") and luhn(made["card"][0])
+    assert made["phone"][0] == feistel("6635556869", "k", "phone") and made["abroad"][0] == "49" + feistel("301234567", "k", "phone")
+    assert made["iban"][0][4:] == feistel("370400440532013000", "k", "iban") and all(mod97(made[k][0]) == 1 for k in ("iban", "gb"))
+    assert all(got[100 + i].text == f"x {x} y" for i, x in enumerate(plain))
+
+
+def test_single_letters_do_not_stay(docs):
+    import string
+
+    for key in ("k", "tidemark"):
+        got = pii.pseudonymize(docs([(i, f"{c}@x.com") for i, c in enumerate(string.ascii_lowercase)]), key=key).collect()
+        new = {r.doc_id: r.text[0] for r in got}
+        assert len(set(new.values())) == 26 and all(string.ascii_lowercase[i] != c for i, c in new.items())
+        assert len({(ord(c) - 97 - i) % 26 for i, c in new.items()}) > 3
+
+
 @pytest.mark.parametrize("before", ["_", "-", "+", ".", "%", "é", "é.", "für.", "a@b.com-", "a@b.com,", "(", ""])
 def test_addresses_after_any_character(docs, before):
     got = pii.pseudonymize(docs([(1, f"x {before}joe12@mail7.example.com_ y"), (2, before + "joe12@x.com")]), key="k").collect()

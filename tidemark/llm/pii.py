@@ -1,18 +1,22 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses.
 
-A scan finds candidates; a validator per kind (Luhn sum, octet range, calendar,
-issued number ranges) decides which are real; a keyed Feistel network then
-permutes each value within its own format.  The permutation depends on the key,
-the kind and the value alone, so equal values get equal pseudonyms in every
-document and different values never meet.
+A scan finds candidates; a validator per kind (Luhn sum, mod 97, octet range, groups,
+calendar, issued number ranges) decides which are real; a keyed Feistel network then
+permutes each value within its own format.  What is permuted is the value without its
+separators, which are laid back afterwards; so equal values get equal pseudonyms in
+every document and every spelling, and different values never meet.
 
 * ``email``: the local part, each ASCII letter or digit within its class (other
   letters stay);
-* ``phone``: all digits but the country code;
+* ``phone``: all digits but the country code (ten digits in US groups, with or without
+  it; any number of 8 to 15 digits after ``+``); area codes are not looked up;
 * ``card``: all digits but the last, which becomes the Luhn digit again;
+* ``iban``: all letters and digits after the country and the check digits, which are
+  made anew;
 * ``ssn`` and ``secret``: all letters and digits within their class (a secret
   of hexadecimal digits within these);
-* ``ip``: a permutation of the 2^32 addresses;
+* ``ip``: a permutation of the 2^32 addresses; an IPv6 address keeps no digit and is
+  written in eight whole groups;
 * ``date`` (ISO, or slashes or dots with a four-digit year, 1900-01-01 up to
   2099-08-04): a permutation of these 72,900 days, written in the same pattern.
 
@@ -24,12 +28,15 @@ repeated rows stay repeated.
 
 from __future__ import annotations
 
+import hashlib
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import boxed, unboxed
 
-KINDS = ("email", "phone", "card", "ssn", "ip", "date", "secret")
+KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
 
 _SECRET = (r"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]{16})"
            r"(?<=(?i:token|key|secret|password|passwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{16,}+")
@@ -41,8 +48,16 @@ _DATE = (r"(?<![0-9A-Za-z/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[
          r"(?![0-9A-Za-z])")
 _SSN = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])"
 _CARD = (r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![0-9A-Za-z])")
+_IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+_ABROAD = r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .\-/]?(?:\([0-9]{1,5}\)|[0-9]{1,12})){1,6}(?![0-9])"
+_IPV6 = r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{5})(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:.])"
 #: Only the card pattern has a group of its own, so its reference is the first.
-PATTERN = "|".join((_SECRET, _EMAIL, _PHONE, _IP, _DATE, _SSN, _CARD))
+PATTERN = "|".join((_SECRET, _EMAIL, _PHONE, _ABROAD, _IP, _DATE, _SSN, _CARD, _IBAN, _IPV6))
+
+#: Country codes of one and of two digits; all others have three.
+_COUNTRY = ("1 7", "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+            "81 82 84 86 90 91 92 93 94 95 98")
+_ABROAD_CODE = rf"^\+(?:{'|'.join(' '.join(_COUNTRY).split())}|[0-9]{{3}})"
 
 _ROUNDS = 8
 _DAYS_SIDE = 270
@@ -95,8 +110,14 @@ def _shift(text: Column, digest: Column, kind: str) -> Column:
     return F.array_join(F.transform(F.split(text, ""), move), "")
 
 
+def _cycle(letters: str, key: str, kind: str) -> str:
+    """The letters, each replaced by the next one of a keyed cycle: none stays itself."""
+    order = sorted(letters, key=lambda c: hashlib.sha256(f"{key}|{kind}|{c}".encode()).hexdigest())
+    return "".join(order[(order.index(c) + 1) % len(order)] for c in letters)
+
+
 def _text_permutation(x: Column, key: str, kind: str) -> Column:
-    """Feistel network over the two halves of a string; its pattern stays."""
+    """Feistel network over the two halves of a string; its pattern stays.  A single character has a permutation of its own."""
     half = F.floor(F.length(x) / 2).cast("int")
     start = F.struct(F.substr(x, F.lit(1), half).alias("l"), F.substr(x, half + 1).alias("r"))
 
@@ -104,7 +125,38 @@ def _text_permutation(x: Column, key: str, kind: str) -> Column:
         digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), s["r"]), 512)
         return F.struct(s["r"].alias("l"), _shift(s["l"], digest, kind).alias("r"))
 
-    return F.aggregate(F.array(*map(F.lit, range(_ROUNDS))), start, step, lambda s: F.concat(s["l"], s["r"]))
+    classes = ("0123456789abcdef",) if kind == "hex" else (string.digits, string.ascii_lowercase, string.ascii_uppercase)
+    alone = F.translate(x, "".join(classes), "".join(_cycle(c, key, kind) for c in classes))
+    mixed = F.aggregate(F.array(*map(F.lit, range(_ROUNDS))), start, step, lambda s: F.concat(s["l"], s["r"]))
+    return F.when(F.length(x) == 1, alone).otherwise(mixed)
+
+
+def _lay(x: Column, new: Column, place: str) -> Column:
+    """``x`` with its characters of the class ``place`` replaced by those of ``new`` in turn."""
+    nth = lambda i: F.length(F.regexp_replace(F.substr(x, F.lit(1), i + 1), f"[^{place}]", ""))
+    put = lambda c, i: F.when(c.rlike(f"[{place}]"), F.substr(new, nth(i), F.lit(1))).otherwise(c)
+    return F.array_join(F.transform(F.split(x, ""), put), "")
+
+
+def _mod97(x: Column) -> Column:
+    """Letters and digits as the number that IBANs stand for, modulo 97."""
+    def step(s: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (s * 10 + F.ascii(c) - 48) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(x, ""), F.lit(0), step)
+
+
+def _ipv6_digits(x: Column) -> Column:
+    """The 32 digits of an IPv6 address; null if it is none."""
+    sides = F.split(F.lower(x), "::", -1)
+    groups = lambda s: F.filter(F.split(s, ":", -1), lambda g: g != "")
+    head, tail = groups(F.get(sides, F.lit(0))), F.when(F.size(sides) == 2, groups(F.get(sides, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    n = F.size(head) + F.size(tail)
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0)))
+    whole = F.array_join(F.transform(F.concat(head, zeros, tail), lambda g: F.lpad(g, 4, "0")), "")
+    # Short forms of a group or two are rather paths of names than addresses of someone.
+    ok = ((F.size(sides) == 1) & (n == 8)) | ((F.size(sides) == 2) & n.between(3, 7))
+    return F.when(ok & ~x.rlike(r":::|^:[^:]|[^:]:$"), whole)
 
 
 def _as_date(x: Column) -> Column:
@@ -119,7 +171,7 @@ def kind_of(x: Column) -> Column:
     """The kind of a candidate, null where its check fails."""
     octets = F.split(x, r"\.")
     days = F.datediff(_as_date(x), F.lit(_EPOCH).cast("date"))
-    digits = _digits(x)
+    digits, bare = _digits(x), F.replace(x, F.lit(" "), F.lit(""))
     return (
         F.when(x.contains("@"), "email")
         .when(x.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), F.lit("ip")))
@@ -127,7 +179,10 @@ def kind_of(x: Column) -> Column:
         .when(x.rlike(f"^(?:{_SSN})$"),
               F.when(~x.rlike(r"^(?:000|666|9)|^...-00|0000$"), F.lit("ssn")))
         .when(x.rlike(f"^(?:{_PHONE})$"), "phone")
+        .when(x.startswith("+"), F.when(F.length(digits).between(8, 15), F.lit("phone")))
         .when(x.rlike(f"^(?:{_CARD})$"), F.when(_luhn_sum(digits, False) % 10 == 0, F.lit("card")))
+        .when(x.rlike(f"^(?:{_IBAN})$"), F.when(_mod97(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))) == 1, F.lit("iban")))
+        .when(x.contains(":") & x.rlike(f"^(?:{_IPV6})$"), F.when(_ipv6_digits(x).isNotNull(), F.lit("ip")))
         .when(x.rlike(r"[0-9]"), "secret")
     )
 
@@ -136,10 +191,21 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a value of a known kind; other values stay."""
     local = F.substring_index(x, "@", 1)
     email = F.concat(_text_permutation(local, key, "email"), F.substr(x, F.length(local) + 1))
-    country = F.regexp_extract(x, r"^\+[0-9]{1,3}(?=[ .\-]?(?:\([0-9]{3}\)|[0-9]{3}[.\-]))", 0)
-    phone = F.concat(country, _text_permutation(F.substr(x, F.length(country) + 1), key, "phone"))
-    body = _text_permutation(F.substr(x, F.lit(1), F.length(x) - 1), key, "card")
-    card = F.concat(body, ((10 - _luhn_sum(_digits(body), True) % 10) % 10).cast("string"))
+    abroad = ~x.rlike(f"^(?:{_PHONE})$")
+    country = F.when(abroad, F.regexp_extract(x, _ABROAD_CODE, 0)).otherwise(
+        F.regexp_extract(x, r"^\+[0-9]{1,3}(?=[ .\-]?(?:\([0-9]{3}\)|[0-9]{3}[.\-]))", 0))
+    rest = F.substr(x, F.length(country) + 1)
+    phone = F.concat(country, _lay(rest, _text_permutation(_digits(rest), key, "phone"), "0-9"))
+    digits = _digits(x)
+    body = _text_permutation(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    card = _lay(x, F.concat(body, ((10 - _luhn_sum(body, True) % 10) % 10).cast("string")), "0-9")
+    bare = F.replace(x, F.lit(" "), F.lit(""))
+    account = _text_permutation(F.substr(bare, F.lit(5)), key, "iban")
+    land = F.substr(bare, F.lit(1), F.lit(2))
+    proof = F.lpad((98 - _mod97(F.concat(account, land, F.lit("00")))).cast("string"), 2, "0")
+    iban = _lay(x, F.concat(land, proof, account), "0-9A-Z")
+    moved = _text_permutation(_ipv6_digits(x), key, "hex")
+    ipv6 = F.concat_ws(":", *(F.substring(moved, 4 * i + 1, 4) for i in range(8)))
     octets = F.transform(F.split(x, r"\."), lambda o: o.cast("long"))
     address = _pair_permutation(F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o), 65536, key, "ip")
     ip = F.concat_ws(".", *((F.shiftright(address, 8 * i) % 256).cast("string") for i in (3, 2, 1, 0)))
@@ -152,7 +218,7 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
     lower = _text_permutation(F.lower(x), key, "hex")
     hexadecimal = F.when(x == F.lower(x), lower).otherwise(F.upper(lower))
     return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card)
-            .when(kind == "ip", ip).when(kind == "date", date)
+            .when(kind == "iban", iban).when((kind == "ip") & x.contains(":"), ipv6).when(kind == "ip", ip).when(kind == "date", date)
             .when((kind == "secret") & (x.rlike("^[0-9a-f]+$") | x.rlike("^[0-9A-F]+$")), hexadecimal)
             .when(kind.isin("ssn", "secret"), _text_permutation(x, key, "text")).otherwise(x))
 
