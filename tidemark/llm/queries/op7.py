@@ -9,23 +9,5 @@ def query(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-# Every document has one source, so each quota is met from its own documents.
-SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-  ('0x' || substr(md5(concat_ws('|', '{SEED}', doc_id::VARCHAR)), 1, 15))::BIGINT AS o FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
--- Capped sources are those with the least size a unit of weight.
-c AS (SELECT *, 3.0 * source_size / w AS r, sum(source_size) OVER () AS total,
-  coalesce(sum(3.0 * source_size) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
-  sum(w) OVER (ORDER BY source_size::DOUBLE / w DESC, source DESC NULLS FIRST) AS open FROM s),
-level AS (SELECT (total - capped) / open AS v FROM c WHERE (total - capped) / open <= r ORDER BY r, source NULLS LAST LIMIT 1),
-t AS (SELECT source, source_size, least(3.0 * source_size, w * v)::DOUBLE AS target, round(least(3.0 * source_size, w * v))::BIGINT AS quota FROM c, level),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN least(quota // source_size, 3) ELSE 0 END AS passes FROM t),
-x AS (SELECT d.doc_id, size, source_size, target, passes, quota - passes * source_size AS rest, o % 4096 AS slice,
-  sum(size) OVER (PARTITION BY d.source ORDER BY o % 4096) AS until_slice,
-  sum(size) OVER (PARTITION BY d.source, o % 4096) AS of_slice,
-  sum(size) OVER (PARTITION BY d.source, o % 4096 ORDER BY o) AS inside, sum(size) OVER (PARTITION BY d.source, o) AS peers
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN passes < 3 AND rest > 0 AND (until_slice <= rest
-  OR (until_slice - of_slice < rest AND inside - peers / 2.0 <= rest - (until_slice - of_slice))) THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
-"""
+#: The flow over shared texts is not a SQL function.
+SQL = None
