@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import codec
 from tidemark.model import MUTATION, Config
 from tidemark.operators import compact, lookup, recover, resolve
 from tidemark.sources.mutations import as_mutations
@@ -46,14 +47,6 @@ def test_tiers_levels_and_replay(spark):
     tiers = [frame(spark, rows[80:]), frame(spark, rows[40:80]), frame(spark, rows[:40])]
     assert as_dict(resolve.overlay(tiers).where("not deleted")) == model(rows)
     assert as_dict(recover.recover(tiers[0].union(tiers[0]), tiers[2].union(tiers[1])).where("not deleted")) == model(rows)
-    # Level 1 holds older rows than level 0; merging it into level 2 must not outrank them.
-    parts = [frame(spark, part).select(F.lit(level).alias("level"), F.lit(str(i)).alias("segment_id"), "*")
-             for i, (level, part) in enumerate([(0, rows[100:]), (1, rows[60:100]), (1, rows[30:60]), (2, rows[:30])])]
-    entries = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    for config, force in ((Config(levels=3), True), (Config(levels=3, compaction_bytes=40), False), (Config(levels=2), True)):
-        out = compact.compact(entries, config, force)
-        assert as_dict(resolve.snapshot(out.select("key", "value", "deleted", "seq"))) == model(rows)
-    assert {r["level"] for r in compact.compact(entries, Config(levels=3), True).collect()} == {3}
 
 
 def test_tombstones_hide_and_stay(spark):
@@ -92,8 +85,14 @@ def test_nulls_and_empty(spark):
     assert resolve.snapshot(empty).count() == 0 and resolve.latest(empty, "window").count() == 0
 
 
-def test_config():
-    assert Config().max_keys == 3 and Config.from_dict({"levels": 2}).levels == 2
-    for bad in ({"bloom_bits": 127}, {"no_such": 1}, {"levels": -1}):
+def test_config(tmp_path):
+    assert Config().levels == 4 and Config.from_dict({"levels": 2}).levels == 2
+    (tmp_path / "c").write_text("# levels\nlevels: 3  # three\n\ncompaction_bytes: 1000\n")
+    assert Config.from_file(str(tmp_path / "c")) == Config(1000, 3)
+    for bad in ({"no_such": 1}, {"levels": -1}, {"levels": 1}):
         with pytest.raises(ValueError):
             Config.from_dict(bad)
+
+
+def test_utf8(spark):
+    assert spark.range(1).select(codec.utf8(F.unhex(F.lit("FF"))).alias("x")).first().x is None

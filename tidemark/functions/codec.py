@@ -1,64 +1,10 @@
-"""Log and segment record frames as column expressions.
-
-A log record is flags (1 byte), key length (4), then value length (4) unless it is
-a delete, key, value.  A segment record has the value length after the key.  Bit 6
-of the flags marks a delete; lengths are big-endian.
-"""
+"""Keys and values as text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DELETED = 64
-
-
-def _length(x: Column) -> Column:
-    return F.unhex(F.lpad(F.hex(F.octet_length(x).cast("long")), 8, "0"))
-
-
-def _binary(x: Column) -> Column:
-    return x.cast("binary")
-
-
-def _concat(*x: Column) -> Column:
-    return F.unhex(F.concat(*(F.hex(y) for y in x)))
-
-
-def encode_log(key: Column, value: Column, deleted: Column) -> Column:
-    key, value = _binary(key), _binary(value)
-    put = _concat(F.unhex(F.lit("00")), _length(key), _length(value), key, value)
-    return F.when(deleted, _concat(F.unhex(F.lit(f"{_DELETED:02X}")), _length(key), key)).otherwise(put)
-
-
-def encode_segment(key: Column, value: Column, deleted: Column) -> Column:
-    key, value = _binary(key), _binary(value)
-    put = _concat(F.unhex(F.lit("00")), _length(key), key, _length(value), value)
-    return F.when(deleted, _concat(F.unhex(F.lit(f"{_DELETED:02X}")), _length(key), key)).otherwise(put)
-
-
-def _number(frame: Column, at: Column) -> Column:
-    return F.conv(F.hex(F.substr(frame, at, F.lit(4))), 16, 10).cast("int")
-
-
-def is_deleted(frame: Column) -> Column:
-    return F.conv(F.hex(F.substr(frame, F.lit(1), F.lit(1))), 16, 10).cast("int").bitwiseAND(F.lit(_DELETED)) != 0
-
-
-def decode_log(frame: Column) -> Column:
-    """struct(key, value, deleted) of a log record."""
-    gone, n = is_deleted(frame), _number(frame, F.lit(2))
-    start = F.when(gone, F.lit(6)).otherwise(F.lit(10))
-    value = F.when(~gone, F.substr(frame, start + n, _number(frame, F.lit(6))))
-    return F.struct(F.substr(frame, start, n).alias("key"), value.alias("value"), gone.alias("deleted"))
-
-
-def decode_segment(frame: Column) -> Column:
-    """struct(key, value, deleted) of a segment record."""
-    gone, n = is_deleted(frame), _number(frame, F.lit(2))
-    value = F.when(~gone, F.substr(frame, n + 10, _number(frame, n + 6)))
-    return F.struct(F.substr(frame, F.lit(6), n).alias("key"), value.alias("value"), gone.alias("deleted"))
-
 
 def utf8(x: Column) -> Column:
     """Bytes as text; null where they are no valid UTF-8."""

@@ -22,30 +22,25 @@ MANIFEST = T.StructType([
     T.StructField("min_seq", T.LongType(), True),
     T.StructField("max_seq", T.LongType(), True),
     T.StructField("n_entries", T.LongType(), False),
+    T.StructField("n_deletes", T.LongType(), False),
     T.StructField("size_bytes", T.LongType(), False),
-    T.StructField("batch_ids", T.ArrayType(T.LongType()), False),
+    T.StructField("max_batch", T.LongType(), False),
 ])
 
-TOPOLOGY = "node_id string, hostname string, port int"
-
 
 @dataclass(frozen=True)
 class Config:
-    """Limits of runs, blocks and levels.  Sizes are payload bytes: keys and values."""
+    """Limits of levels.  Sizes are payload bytes: keys and values."""
 
-    max_keys: int = 3
-    block_bytes: int = 64
     compaction_bytes: int = 256
     levels: int = 4
-    bloom_bits: int = 2048
-    bloom_hashes: int = 3
 
     def __post_init__(self):
-        if self.bloom_bits <= 0 or self.bloom_bits % 128:
-            raise ValueError("bloom_bits must be a positive multiple of 128")
         for f in fields(self):
             if getattr(self, f.name) < 0:
                 raise ValueError(f"{f.name} must not be negative")
+        if self.levels < 2:
+            raise ValueError("levels must be two at least")
 
     @classmethod
     def from_dict(cls, given: dict) -> Config:
@@ -54,3 +49,10 @@ class Config:
         if unknown:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         return cls(**given)
+
+    @classmethod
+    def from_file(cls, path: str) -> Config:
+        """Settings from a file of ``name: number`` lines; text after ``#`` does not count."""
+        with open(path, encoding="utf-8") as f:
+            lines = [x.partition("#")[0].strip() for x in f]
+        return cls.from_dict({k.strip(): int(v) for k, _, v in (x.partition(":") for x in lines if x)})

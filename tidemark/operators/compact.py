@@ -1,29 +1,20 @@
-"""Leveled compaction over entries with (segment_id, level, key, value, deleted, seq)."""
+"""Leveled compaction: what is due, and the merge of segments."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Config
 from .resolve import latest
 
 
-def segment_stats(entries: DataFrame) -> DataFrame:
-    """Entries, deletes, payload bytes, key range and seq range of every segment."""
-    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
-    return entries.groupBy("level", "segment_id").agg(
-        F.count("*").alias("n_entries"), F.sum(F.col("deleted").cast("long")).alias("n_deletes"), F.sum(size.cast("long")).alias("size_bytes"),
-        F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
+def level_sizes(manifest: DataFrame) -> DataFrame:
+    return manifest.groupBy("level").agg(F.count("*").alias("n_segments"), F.sum("size_bytes").alias("size_bytes"), F.sum("n_entries").alias("n_entries"))
 
 
-def level_sizes(stats: DataFrame) -> DataFrame:
-    return stats.groupBy("level").agg(F.count("*").alias("n_segments"), F.sum("size_bytes").alias("size_bytes"), F.sum("n_entries").alias("n_entries"))
-
-
-def candidates(stats: DataFrame, level: int, threshold: int) -> DataFrame:
+def candidates(manifest: DataFrame, level: int, threshold: int) -> DataFrame:
     """All segments of a level whose total payload reaches the threshold (equality counts), else none."""
-    own = stats.where(F.col("level") == level)
+    own = manifest.where(F.col("level") == level)
     total = own.groupBy().agg(F.sum("size_bytes").alias("_total")).where(F.col("_total") >= threshold)
     return own.join(F.broadcast(total), F.lit(True)).drop("_total")  # one row at most
 
@@ -33,28 +24,6 @@ def merge(entries: DataFrame) -> DataFrame:
     return latest(entries)
 
 
-def compact(entries: DataFrame, config: Config, force: bool = False) -> DataFrame:
-    """Cascade: levels from 0 up, each merged into the next if it is due.
-
-    Only per-level totals (at most ``levels`` rows) reach the driver.  A level that
-    is not due is left as it is; the last level merges with itself.
-    """
-    out = entries.select("level", "segment_id", "key", "value", "deleted", "seq")
-    for level in range(config.levels):
-        stats = level_sizes(segment_stats(out.where(F.col("level") == level))).first()
-        if stats is None or not force and stats["size_bytes"] < config.compaction_bytes:
-            continue
-        own = out.where(F.col("level") == level)
-        # The last level takes the result in, so that it is merged with itself.
-        rest = out.where(F.col("level") != level)
-        target = level + 1
-        if target == config.levels:
-            own, rest = own.unionByName(rest.where(F.col("level") == target)), rest.where(F.col("level") != target)
-        merged = merge(own).select(F.lit(target).alias("level"), F.lit(f"merged-{target}").alias("segment_id"), "key", "value", "deleted", "seq")
-        out = rest.unionByName(merged)
-    return out
-
-
 def drop_tombstones(bottom: DataFrame) -> DataFrame:
     """A full merge into the bottom level without deletes.
 

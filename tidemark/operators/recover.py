@@ -1,23 +1,12 @@
-"""Recovery: log batches that no segment covers are replayed over the segments."""
+"""Recovery: log batches that no segment holds are replayed over the segments."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .resolve import latest
 
 
-def unflushed(log: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Mutations of batches that no manifest row lists.
-
-    Batches decide, not seq: a batch may hold late rows that are older than
-    mutations flushed already.
-    """
-    done = manifest.select(F.explode("batch_ids").alias("batch_id")).distinct()
-    return log.join(done, "batch_id", "left_anti")
-
-
 def recover(log: DataFrame, segments: DataFrame) -> DataFrame:
     """Newest mutation of every key over log and segments; replaying more than needed changes nothing."""
     columns = ("key", "value", "deleted", "seq")

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..model import TOPOLOGY, Config
-from ..operators import bloom, compact, lookup, resolve, runs, topology
+from ..model import Config
+from ..operators import compact, lookup, resolve
 from ..operators.recover import recover
+from ..sources import mutations as log
+from ..sources import segments
+from ..sources.files import shared_folder
 from ..sources.mutations import as_mutations
-from ..streaming.ingest import compact_level, current, ingest
+from ..streaming import ingest as store
+from ..streaming.ingest import current, ingest
 
-#: Mutations in a log slice and entries in a segment of the queries.
-SLICE = 1000
-CONFIG = Config(max_keys=3, block_bytes=64, compaction_bytes=4096, levels=3)
+#: Log batches of the stores that queries write; each is flushed as a segment.
+BATCHES = 4
+CONFIG = Config(compaction_bytes=4096, levels=3)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +35,68 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                         deleted=F.col("o_orderstatus") == "P")
 
 
-def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events log as segments: every slice resolved, spread over levels 0 to 2."""
-    e = events(spark, sf_dir).withColumn("segment_id", F.floor(F.col("seq") / SLICE))
-    won = e.groupBy("segment_id", "key").agg(F.max_by(F.struct("value", "deleted", "seq"), "seq").alias("w"))
-    return won.select((F.col("segment_id") % 3).cast("int").alias("level"), F.col("segment_id").cast("string").alias("segment_id"),
-                      "key", "w.value", "w.deleted", "w.seq")
+_stores: dict = {}
+
+
+def _store(spark: SparkSession, sf_dir: str, label: str = "read") -> str:
+    """A store of the events log in ``BATCHES`` level-0 segments of neighbouring seq; written once a session for each label."""
+    name = (spark.sparkContext.applicationId, sf_dir, label)
+    if name not in _stores:
+        root, rows = shared_folder(spark, "store"), events(spark, sf_dir)
+        rows = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "deleted", "seq")
+        top = (rows.agg(F.max("seq")).first()[0] or 0) + 1
+        for k in range(BATCHES):
+            log.append(rows.where((F.col("seq") >= top * k // BATCHES) & (F.col("seq") < top * (k + 1) // BATCHES)), root, k)
+            store.flush(spark, root)
+        _stores[name] = root
+    return _stores[name]
+
+
+def _text(entries: DataFrame) -> DataFrame:
+    return entries.withColumns({"key": codec.utf8(F.col("key")), "value": codec.utf8(F.col("value"))})
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments.manifest(spark, _store(spark, sf_dir))
+    return rows.select("level", "n_entries", "n_deletes", "size_bytes", codec.utf8(F.col("min_key")).alias("min_key"),
+                       codec.utf8(F.col("max_key")).alias("max_key"), "min_seq", "max_seq")
+
+
+def _level(spark: SparkSession, root: str, level: int) -> DataFrame:
+    rows = segments.manifest(spark, root).where(F.col("level") == level)
+    return _text(segments.read_segments(spark, rows)).withColumn("level", F.lit(level))
+
+
+def _compacted(how):
+    """A query over a store of its own after a compaction."""
+    def run(spark, sf_dir):
+        return how(spark, _store(spark, sf_dir, how.__name__))
+
+    return run
+
+
+@_compacted
+def _level0(spark, root):
+    store.compact_level(spark, root, 0)
+    return _level(spark, root, 1)
+
+
+@_compacted
+def _cascade(spark, root):
+    store.compact(spark, root, CONFIG, force=True)
+    return _level(spark, root, CONFIG.levels - 1)
+
+
+@_compacted
+def _collected(spark, root):
+    store.compact(spark, root, CONFIG, force=True, drop_deletes=True)
+    segments.collect_garbage(spark, root)
+    return _level(spark, root, CONFIG.levels - 1).select("key", "value", "seq")
+
+
+def _store_multi_get(spark, sf_dir):
+    keys = wanted(spark, sf_dir).select(F.col("key").cast("binary").alias("key"))
+    return _text(store.multi_get(spark, _store(spark, sf_dir), keys))
 
 
 def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,20 +113,6 @@ def _point(key: str):
     return run
 
 
-def _levels(spark, sf_dir):
-    return compact.level_sizes(compact.segment_stats(event_segments(spark, sf_dir)))
-
-
-def _block_segments(spark, sf_dir):
-    return event_segments(spark, sf_dir).where("level = 0")
-
-
-def _locate(spark, sf_dir):
-    own = _block_segments(spark, sf_dir)
-    keys = own.select("segment_id").distinct().join(F.broadcast(spark.createDataFrame([("",), ("1",), ("10",), ("37",), ("5x",), ("zz",)], "key string")), F.lit(True))
-    return runs.locate_block(runs.block_index(own, CONFIG), keys)
-
-
 def _overlay(spark, sf_dir):
     log = orders(spark, sf_dir)
     # Newest tier first; the slices of seq do not overlap.
@@ -86,45 +129,15 @@ def _replayed(spark, sf_dir):
         ~F.col("deleted")).select("key", "value", "seq")
 
 
-def _bloom(spark, sf_dir):
-    own = event_segments(spark, sf_dir)
-    probed = bloom.might_contain(bloom.build(own, CONFIG), own, CONFIG)
-    return probed.groupBy("segment_id").agg(F.count("*").alias("n_keys"), F.sum((~F.col("maybe")).cast("long")).alias("n_missed"))
-
-
-def _topology(spark, sf_dir):
-    seed = spark.createDataFrame([("n1", "host-a", 7001), ("n2", "host-b", 7002)], TOPOLOGY)
-    own = topology.init(spark, "n3", "host-c", 7003)
-    joined, _ = topology.start_join(own, [seed])
-    return topology.join(joined, topology.init(spark, "n2", "host-b", 7102))
-
-
 def _stream(spark, sf_dir):
-    root = _scratch(spark)
+    root = shared_folder(spark, "stream")
     names = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(names).parquet(f"{sf_dir}/events.parquet*")
-    log = as_mutations(stream, key=F.col("user_id").cast("string").cast("binary"), value=F.col("props").cast("binary"),
-                       seq=F.col("event_id"), deleted=F.col("event_type") == "error")
-    ingest(log, root, f"{root}/stream-checkpoint").awaitTermination()
-    compact_level(spark, root, 0)
-    return current(spark, root).select(codec.utf8(F.col("key")).alias("key"), codec.utf8(F.col("value")).alias("value"), "seq")
-
-
-def _scratch(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='tidemark-stream-')}"
-
-
-def _encoded(log: DataFrame, encode) -> DataFrame:
-    return log.select("seq", encode(F.col("key"), F.col("value"), F.col("deleted")).alias("frame"))
-
-
-def _decoded(decode, encode):
-    def run(spark, sf_dir):
-        r = _encoded(events(spark, sf_dir), encode).select("seq", decode(F.col("frame")).alias("r"))
-        return r.select("seq", codec.utf8(F.col("r.key")).alias("key"), codec.utf8(F.col("r.value")).alias("value"), "r.deleted")
-
-    return run
+    rows = as_mutations(stream, key=F.col("user_id").cast("string").cast("binary"), value=F.col("props").cast("binary"),
+                        seq=F.col("event_id"), deleted=F.col("event_type") == "error")
+    ingest(rows, root, f"{root}/stream-checkpoint").awaitTermination()
+    store.compact_level(spark, root, 0)
+    return _text(current(spark, root))
 
 
 QUERIES = {
@@ -144,24 +157,17 @@ QUERIES = {
     "live_key_count": lambda s, d: resolve.latest(orders(s, d)).agg(
         F.count("*").alias("n_keys"), F.coalesce(F.sum((~F.col("deleted")).cast("long")), F.lit(0)).alias("n_live")),
     "key_version_stats": lambda s, d: resolve.key_versions(orders(s, d)),
-    "flush_runs": lambda s, d: runs.flush_runs(events(s, d).withColumn("log_id", F.floor(F.col("seq") / SLICE)), CONFIG),
-    "run_merge": event_segments,
-    "block_index": lambda s, d: runs.block_index(_block_segments(s, d), CONFIG),
-    "block_locate": _locate,
-    "segment_stats": lambda s, d: compact.segment_stats(event_segments(s, d)),
-    "level_sizes": _levels,
-    "compaction_candidates": lambda s, d: compact.candidates(compact.segment_stats(event_segments(s, d)), 1, CONFIG.compaction_bytes),
-    "compact_level0": lambda s, d: compact.merge(event_segments(s, d).where("level = 0")).withColumn("level", F.lit(1)),
-    "compact_cascade": lambda s, d: compact.compact(event_segments(s, d), CONFIG, force=True),
-    "compact_gc_bottom": lambda s, d: compact.drop_tombstones(event_segments(s, d)).select("key", "value", "seq"),
-    "wal_encode": lambda s, d: _encoded(events(s, d), codec.encode_log).select("seq", F.hex("frame").alias("frame")),
-    "wal_decode": _decoded(codec.decode_log, codec.encode_log),
-    "segment_encode": lambda s, d: _encoded(events(s, d), codec.encode_segment).select("seq", F.hex("frame").alias("frame")),
-    "segment_decode": _decoded(codec.decode_segment, codec.encode_segment),
+    "run_merge": lambda s, d: _text(segments.read_segments(s, segments.manifest(s, _store(s, d)))),
+    "segment_stats": _manifest,
+    "level_sizes": lambda s, d: compact.level_sizes(_manifest(s, d)),
+    "compaction_candidates": lambda s, d: compact.candidates(_manifest(s, d), 0, CONFIG.compaction_bytes),
+    "compact_level0": _level0,
+    "compact_cascade": _cascade,
+    "compact_gc_bottom": _collected,
+    "store_get": lambda s, d: _text(store.get(s, _store(s, d), b"1")),
+    "store_multi_get": _store_multi_get,
     "recover_replay": _replayed,
     "tier_overlay": _overlay,
-    "bloom_no_false_negative": _bloom,
-    "topology_join": _topology,
     "stream_snapshot": _stream,
 }
 
@@ -185,28 +191,12 @@ def _state(log: str, keys: str) -> str:
             f"FROM (SELECT DISTINCT key FROM {keys}) k LEFT JOIN ({_latest(log)}) l ON l.key = k.key")
 
 
-_SEGMENTS = (f"{_EVENTS}, s AS (SELECT ((seq // {SLICE}) % 3)::INT AS level, (seq // {SLICE})::VARCHAR AS segment_id, key, value, deleted, seq "
-             f"FROM ({_latest('e', by=f'seq // {SLICE}, key')}))")
+_SEGMENTS = (f"{_EVENTS}, c AS (SELECT *, (SELECT max(event_id) + 1 FROM events) AS top FROM e), "
+             f"p AS (SELECT key, value, deleted, seq, (SELECT max(k) FROM range({BATCHES}) t(k) WHERE seq >= top * k // {BATCHES}) AS batch FROM c), "
+             f"s AS (SELECT 0 AS level, * FROM ({_latest('p', by='batch, key')}))")
 _SIZE = "octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0)"
-_STATS = (f"SELECT level, segment_id, count(*) AS n_entries, sum(deleted::INT)::BIGINT AS n_deletes, sum({_SIZE})::BIGINT AS size_bytes, "
-          "min(key) AS min_key, max(key) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq FROM s GROUP BY ALL")
-_BLOCKS = f"""{_SEGMENTS}, n AS (SELECT segment_id, key, {_SIZE} AS size, row_number() OVER (PARTITION BY segment_id ORDER BY encode(key)) AS i
-  FROM s WHERE level = 0),
-f AS (SELECT segment_id, i, key, size, size AS acc, 0 AS block FROM n WHERE i = 1
-  UNION ALL SELECT n.segment_id, n.i, n.key, n.size, CASE WHEN f.acc >= {CONFIG.block_bytes} THEN n.size ELSE f.acc + n.size END,
-    f.block + CASE WHEN f.acc >= {CONFIG.block_bytes} THEN 1 ELSE 0 END FROM f JOIN n ON n.segment_id = f.segment_id AND n.i = f.i + 1),
-b AS (SELECT segment_id, block::BIGINT AS block_no, count(*) AS n_entries, sum(size)::BIGINT AS size_bytes, min(key) AS start_key FROM f GROUP BY ALL)"""
-
-
-def _frame(value_length_first: bool) -> str:
-    n = lambda x: f"lpad(to_hex(octet_length(encode({x}))), 8, '0')"
-    h = lambda x: f"hex(encode({x}))"
-    rest = f"{n('key')} || {n('value')} || {h('key')}" if value_length_first else f"{n('key')} || {h('key')} || {n('value')}"
-    return (f"WITH {_EVENTS} SELECT seq, upper(CASE WHEN deleted THEN '40' || {n('key')} || {h('key')} "
-            f"ELSE '00' || {rest} || {h('value')} END) AS frame FROM e")
-
-
-_PLAIN = f"WITH {_EVENTS} SELECT seq, key, value, deleted FROM e"
+_STATS = (f"SELECT level, count(*) AS n_entries, sum(deleted::INT)::BIGINT AS n_deletes, sum({_SIZE})::BIGINT AS size_bytes, "
+          "min(key) AS min_key, max(key) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq FROM s GROUP BY level, batch")
 
 SQL = {
     "mutation_log": f"WITH {_EVENTS} SELECT * FROM e",
@@ -225,32 +215,17 @@ SQL = {
     "live_key_count": f"WITH {_ORDERS} SELECT count(*) AS n_keys, coalesce(sum((NOT deleted)::INT), 0)::BIGINT AS n_live FROM ({_latest('o')})",
     "key_version_stats": f"WITH {_ORDERS} SELECT key, count(*) AS n_versions, sum((NOT deleted)::INT)::BIGINT AS n_puts, "
                          "sum(deleted::INT)::BIGINT AS n_deletes, min(seq) AS first_seq, max(seq) AS last_seq FROM o GROUP BY key",
-    "flush_runs": f"""WITH RECURSIVE {_EVENTS}, n AS (SELECT seq // {SLICE} AS log_id, key, seq, row_number() OVER (PARTITION BY seq // {SLICE} ORDER BY seq) AS i FROM e),
-f AS (SELECT log_id, i, seq, [key] AS keys, 0 AS run, 1 > {CONFIG.max_keys} AS shut FROM n WHERE i = 1
-  UNION ALL SELECT n.log_id, n.i, n.seq, CASE WHEN f.shut THEN [n.key] ELSE list_distinct(f.keys || [n.key]) END,
-    f.run + f.shut::INT, len(CASE WHEN f.shut THEN [n.key] ELSE list_distinct(f.keys || [n.key]) END) > {CONFIG.max_keys}
-  FROM f JOIN n ON n.log_id = f.log_id AND n.i = f.i + 1)
-SELECT log_id, run::BIGINT AS run, count(*) AS n_mutations, max(len(keys))::BIGINT AS n_keys, min(seq) AS first_seq, max(seq) AS last_seq, bool_or(shut) AS closed
-FROM f GROUP BY log_id, run""",
-    "run_merge": f"WITH {_SEGMENTS} SELECT * FROM s",
-    "block_index": f"WITH RECURSIVE {_BLOCKS} SELECT * FROM b",
-    "block_locate": f"""WITH RECURSIVE {_BLOCKS}, k AS (SELECT DISTINCT b.segment_id, t.key FROM b, (VALUES (''), ('1'), ('10'), ('37'), ('5x'), ('zz')) t(key))
-SELECT k.segment_id, k.key, (SELECT max(block_no) FROM b WHERE b.segment_id = k.segment_id AND b.start_key <= k.key) AS block_no FROM k""",
+    "run_merge": f"WITH {_SEGMENTS} SELECT key, value, deleted, seq FROM s",
     "segment_stats": f"WITH {_SEGMENTS} {_STATS}",
     "level_sizes": f"WITH {_SEGMENTS}, t AS ({_STATS}) SELECT level, count(*) AS n_segments, sum(size_bytes)::BIGINT AS size_bytes, "
                    "sum(n_entries)::BIGINT AS n_entries FROM t GROUP BY level",
-    "compaction_candidates": f"WITH {_SEGMENTS}, t AS ({_STATS}) SELECT * FROM t WHERE level = 1 AND "
-                             f"(SELECT sum(size_bytes) FROM t WHERE level = 1) >= {CONFIG.compaction_bytes}",
-    "compact_level0": f"WITH {_SEGMENTS} SELECT key, value, deleted, seq, 1 AS level FROM ({_latest('s', 'level = 0')})",
-    "compact_cascade": f"WITH {_SEGMENTS} SELECT 3 AS level, 'merged-3' AS segment_id, key, value, deleted, seq FROM ({_latest('s')})",
-    "compact_gc_bottom": f"WITH {_SEGMENTS} {_live('s')}",
-    "wal_encode": _frame(True),
-    "wal_decode": _PLAIN,
-    "segment_encode": _frame(False),
-    "segment_decode": _PLAIN,
+    "compaction_candidates": f"WITH {_SEGMENTS}, t AS ({_STATS}) SELECT * FROM t WHERE (SELECT sum(size_bytes) FROM t) >= {CONFIG.compaction_bytes}",
+    "compact_level0": f"WITH {_EVENTS} SELECT *, 1 AS level FROM ({_latest('e')})",
+    "compact_cascade": f"WITH {_EVENTS} SELECT *, {CONFIG.levels - 1} AS level FROM ({_latest('e')})",
+    "compact_gc_bottom": f"WITH {_EVENTS} {_live('e')}",
+    "store_get": f"WITH {_EVENTS} {_live('e', "key = '1'")}",
+    "store_multi_get": f"WITH {_EVENTS}, {_WANTED} {_live('e', 'key IN (SELECT key FROM k)')}",
     "recover_replay": f"WITH {_ORDERS} {_live('o')}",
     "tier_overlay": f"WITH {_ORDERS} {_live('o')}",
-    "bloom_no_false_negative": f"WITH {_SEGMENTS} SELECT segment_id, count(*) AS n_keys, 0::BIGINT AS n_missed FROM s GROUP BY segment_id",
-    "topology_join": "SELECT * FROM (VALUES ('n1', 'host-a', 7001), ('n2', 'host-b', 7102), ('n3', 'host-c', 7003)) t(node_id, hostname, port)",
     "stream_snapshot": f"WITH {_EVENTS} {_live('e')}",
 }

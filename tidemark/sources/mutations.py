@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import MUTATION
+from . import files
+
 
 def as_mutations(df: DataFrame, *, key: Column, value: Column, seq: Column, deleted: Column | None = None) -> DataFrame:
     """(key, value, deleted, seq).  A delete has no value; an empty value is a live one.
@@ -18,10 +21,25 @@ def as_mutations(df: DataFrame, *, key: Column, value: Column, seq: Column, dele
 
 
 def append(mutations: DataFrame, root: str, batch_id: int) -> None:
-    """Append a batch to the log.  Writing a batch again replaces it, so a retried batch counts once."""
+    """Append a batch to the log; batch ids grow.  Writing a batch again replaces it, so a retried batch counts once."""
     mutations.write.mode("overwrite").parquet(f"{root.rstrip('/')}/log/batch_id={batch_id}")
 
 
-def replay(spark: SparkSession, root: str) -> DataFrame:
-    """All batches of the log, with their ``batch_id``."""
-    return spark.read.parquet(f"{root.rstrip('/')}/log").withColumn("batch_id", F.col("batch_id").cast("long"))
+def batches(spark: SparkSession, root: str) -> list[int]:
+    """The ids of the whole batches of the log."""
+    log = f"{root.rstrip('/')}/log"
+    found = [x for x in files.names(spark, log) if x.startswith("batch_id=") and files.exists(spark, f"{log}/{x}/_SUCCESS")]
+    return sorted(int(x.partition("=")[2]) for x in found)
+
+
+def replay(spark: SparkSession, root: str, after: int = -1) -> DataFrame:
+    """The mutations of the batches after one; the others are not opened."""
+    paths = [f"{root.rstrip('/')}/log/batch_id={b}" for b in batches(spark, root) if b > after]
+    return spark.read.schema(MUTATION).parquet(*paths) if paths else spark.createDataFrame([], MUTATION)
+
+
+def retire(spark: SparkSession, root: str, until: int) -> None:
+    """Delete the batches up to one, which segments hold."""
+    for b in batches(spark, root):
+        if b <= until:
+            files.delete(spark, f"{root.rstrip('/')}/log/batch_id={b}")
