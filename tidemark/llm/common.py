@@ -24,12 +24,15 @@ _written: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our
-    own where that is unset (a single machine, as in tests)."""
+    own where that is unset on a single machine, as in tests; a cluster must set it."""
     global _own_dir
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if _own_dir is None:
             folder = tempfile.mkdtemp(prefix="tidemark-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -81,11 +84,19 @@ def prefiltered(keys: DataFrame):
             spark.conf.set(prefix + k, v)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``materialize`` wrote, once their results are used up."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many tables ``materialize`` has written so far, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that ``materialize`` wrote, once their results are used up: those since a
+    count of ``written``, without the last ``keep``."""
+    until = len(_written) - keep
+    for name in _written[since:until]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[since:until]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
