@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, near_dedup, pii, quality_classifier
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import materialize, release, table, written
 
 PII_KEY = "tidemark"
 SEED = 7
@@ -54,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, begun = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # Only the stage's result is read from here on.
+        release(spark, begun, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
