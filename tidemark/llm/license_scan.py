@@ -92,6 +92,8 @@ TEMPLATES = (
 #: Either case; the contract lowers A-Z and nothing else.
 _NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _MARK = "\u0001"
+#: Bytes of template prefixes that are broadcast at most.
+_BROADCAST = 8 << 20
 
 
 def template_words(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
@@ -175,8 +177,10 @@ def _matches(read: DataFrame, threshold: float, templates) -> DataFrame:
     for k, ((label, own), a) in enumerate(zip(sets, need)):
         ordered = sorted(own, key=rank.get)
         rows += [(k, label, ordered, a, j, w) for j, w in enumerate(ordered[: len(ordered) - a + 1])]
-    # Its size is known to the optimizer, which broadcasts it if it is small.
     prefixes = spark.createDataFrame(rows, "_template int, label string, _own array<string>, _need int, _j int, _w string")
+    # Templates are a parameter: what they come to is counted before it is sent to all tasks.
+    if sum(len(w) + 8 for r in rows for w in r[2]) <= _BROADCAST:
+        prefixes = F.broadcast(prefixes)
     own = F.size("_own")
     size = F.size("_t")
     ahead = F.least(F.col("_i"), F.col("_j")) + F.least(size - F.col("_i"), own - F.col("_j"))
