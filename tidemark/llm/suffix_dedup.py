@@ -49,6 +49,8 @@ MIN_WORDS = 50
 #: Words in the groups whose hashes compete.
 GROUP = 8
 _SPAN, _WINDOW = 0, 1
+#: Rows a task gathers before it hands them on.
+_ROWS = 20_000
 
 
 class Windows:
@@ -195,6 +197,8 @@ def _comparer(min_words: int):
                 if own != head:
                     out += dict.fromkeys(neighbours(run, min_words, not inner))
                     inner, run, head = head is not None, [], own
+                    if len(out) > _ROWS:
+                        yield rows()
                 run.append(x)
             if out:
                 yield rows()

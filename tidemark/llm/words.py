@@ -16,7 +16,7 @@ ship(__name__)
 
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes of text handled at once in a task; a longer text is handled alone.
-PIECE = 1 << 22
+PIECE = 1 << 20
 _BLOCK = 1 << 19
 
 
