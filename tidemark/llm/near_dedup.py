@@ -307,7 +307,8 @@ def links(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands:
     met = materialize(open_rows.select("node", "n").distinct(), "nodes")
     own = docs.select(text_node(F.col(text)), F.col(text).alias("t"))
     with prefiltered(met):
-        texts = own.join(met.where("n > 0").select("node"), "node", "left_semi").dropDuplicates(["node"])
+        # One row a text before the shuffle, so that a text with many copies does not meet the join in one task.
+        texts = own.dropDuplicates(["node"]).join(met.where("n > 0").select("node"), "node", "left_semi")
         words = materialize(texts.select("node", "t"), "texts")
     a, b = (words.select(F.col("node").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
     shared = open_rows.where(F.col("size") > small).select("pivot", "node")
