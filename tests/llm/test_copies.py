@@ -154,6 +154,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs(spark):
+    """Hubs in the middle of their neighbours, joined to each other by a chain, one of them apart."""
+    edges = [(1000, k) for k in range(100, 1000)] + [(1000, k) for k in range(1001, 1900)] + [(1899, 5000), (5000, 5001)]
+    edges += [(5001, k) for k in range(5002, 5400)] + [(9000, k) for k in range(9001, 9400)] + [(20000, 20001)]
+    got = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {k: 100 for e in edges[:2199] for k in e} | {k: 9000 for k in range(9000, 9400)} | {20000: 20000, 20001: 20000}
+    assert got == want
+
+
 def covered(texts, least):
     places = defaultdict(list)
     for i, t in enumerate(texts):
