@@ -336,3 +336,16 @@ def test_pipeline_stage_by_stage(spark):
             assert out.columns == names
         docs = out
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", ["cookie-banner", "cookieBanner", "ad-box", "ad-slot-300x250", "sidebar", "newsletter-signup", "notice", "promo-unit first"])
+def test_long_notices_and_adverts_go(name):
+    """A part of the page that is named by a whole name goes, though it has a third of the text."""
+    para = lambda k: f"<p>{' '.join(f'w{k}x{i}' for i in range(40))}.</p>"
+    article = para(1) + para(2)
+    for at in ("id", "class"):
+        page = f'<body><div {at}="{name}">{para(3)}</div><div class="wrapper"><div class="content">{article}</div></div></body>'
+        assert html_text.extract(page) == article.replace("</p><p>", "\n\n")[3:-4]
+        # The same word as a part of another name tells of the layout.
+        other = f'<body><div class="with-{name.split()[0]}"><div>{article}</div></div></body>'
+        assert html_text.extract(other) == article.replace("</p><p>", "\n\n")[3:-4]

@@ -14,7 +14,8 @@ what they are (by tag, role, class or id) are taken out first, so that a dense
 advert cannot win.  Names are evidence only, weighed against the text: a node whose
 class or id has such a word as one part of a longer name ("with-sidebar",
 "related-work") stays if it holds a fifth of the page's characters and few of them
-are links; a form, or a node that is named just so, stays if it holds most of the
+are links; a form, or a node that is named so by a whole name ("ad", "ad-box",
+"cookie-banner"), stays if it holds most of the
 page's characters and all of its ``article`` and ``main`` elements: it is around the
 page then.  On a page without links the plain characters per tag count, for the
 adjustment divides by the links.
@@ -70,7 +71,10 @@ _NOT_WORDS = frozenset(
     "share sharing social related recommended recommendations widget widgets toolbar disclaimer outbrain taboola paywall".split())
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
 #: These name parts of articles as well.
-_EITHER = frozenset("discussion related recommendations promotion notice notices".split())
+_EITHER = frozenset("discussion related recommendations".split())
+#: These say nothing beside another word of a name: "ad-box" is an advert, "article-promo" need not be one.
+_PLAIN = frozenset("area bar block bottom box center col column container inner item list outer page panel row section site slot "
+                   "strip top unit wrap wrapper x".split())
 _KEEP = frozenset("html body main".split())
 #: Why a node is taken out: for good, as a form or by its name, by a name for comments, by a part of its name.
 _HARD, _SOFT, _COMMENT, _WEAK = 1, 2, 3, 4
@@ -104,8 +108,9 @@ def _boilerplate(tag: str, attributes: str, inside: set[str]) -> int:
         return _COMMENT
     if tag == "article" or soft or not words & (_NOT_WORDS | _EITHER):
         return soft
-    names = set(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
-    return _SOFT if names & (_NOT_WORDS - _EITHER) else _WEAK
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    parts = [{w.lower() for w in _WORDS.findall(name) if not w.isdigit()} - _PLAIN for name in names]
+    return _SOFT if any(x <= _NOT_WORDS | _EITHER and x - _EITHER for x in parts) else _WEAK
 
 
 def parse(page: str) -> _Node:
